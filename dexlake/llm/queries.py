@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dexlake.llm.common import table
 
@@ -29,8 +30,38 @@ def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
 
+def held_out(id_col: str, folds: int, fold: int) -> F.Column:
+    """Is crc32 of the id as text in the fold that isn't learned from?  False for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dexlake.llm.language_id import identify_languages, learn_languages
+
+    docs = table(spark, sf_dir, "documents")
+    held = held_out("doc_id", 5, 0)
+    return identify_languages(docs, learn_languages(docs, ~held)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dexlake.llm.quality import learn_quality, quality_scores
+
+    docs = table(spark, sf_dir, "documents")
+    held = held_out("doc_id", 4, 2)
+    model = learn_quality(docs, table(spark, sf_dir, "labels"), ~held)
+    return quality_scores(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from dexlake.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op2_order_minhash, op3_tiff)}
+    return {f.__name__: f for f in (op1_token_count, op2_order_minhash, op3_tiff, op7_language_id, op8_quality, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
