@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,10 +43,29 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there (lineage ends, executors may be lost)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    """At the end of the process, remove what :func:`cut` wrote."""
+    for spark, path in _SCRATCH:
+        try:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+            where = hadoop.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session has ended: the folder is left to its owner
+            return
+
+
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and go on from there: lineage ends, and executors may be lost."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    if not _SCRATCH:
+        atexit.register(_sweep)
+    _SCRATCH.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def by_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
