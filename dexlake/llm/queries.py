@@ -60,8 +60,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dexlake.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op2_order_minhash, op3_tiff, op7_language_id, op8_quality, op9_packing)}
+    return {f.__name__: f for f in (op1_token_count, op2_order_minhash, op3_tiff, op7_language_id, op8_quality, op9_packing, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
