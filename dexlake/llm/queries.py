@@ -35,6 +35,24 @@ def held_out(id_col: str, folds: int, fold: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+#: Target shares of the sources in op4 and the pipeline; sources that aren't listed share the last part.
+SHARES = {"src0": 6} | {f"src{i}": 4 for i in range(1, 5)} | {f"src{i}": 3 for i in range(5, 10)} | {f"src{i}": 2 for i in range(10, 15)} | {f"src{i}": 1 for i in range(15, 20)}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dexlake.llm.mixing import schedule
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    names = {"source": "mix_source", "size": "size", "block": "block", "phase": "phase", "release": "release", "deadline": "deadline", "slot": "slot"}
+    return schedule(docs, SHARES).select("doc_id", *[F.col(f"_mix_{k}").alias(v) for k, v in names.items()])
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dexlake.llm.sharding import shard_by_bytes
+
+    return shard_by_bytes(table(spark, sf_dir, "documents"), 24)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dexlake.llm.language_id import identify_languages, learn_languages
 
@@ -67,7 +85,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op2_order_minhash, op3_tiff, op7_language_id, op8_quality, op9_packing, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_count, op2_order_minhash, op3_tiff, op4_mixing, op5_sharding, op7_language_id, op8_quality, op9_packing, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
