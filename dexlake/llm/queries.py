@@ -53,6 +53,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 24)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dexlake.llm.suffix_dedup import dedup_digests
+
+    return dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dexlake.llm.language_id import identify_languages, learn_languages
 
@@ -85,7 +91,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op2_order_minhash, op3_tiff, op4_mixing, op5_sharding, op7_language_id, op8_quality, op9_packing, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_count, op2_order_minhash, op3_tiff, op4_mixing, op5_sharding, op6_suffix_dedup, op7_language_id, op8_quality, op9_packing, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
