@@ -18,11 +18,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dexlake.llm.common import by_rows, texts_of
+from dexlake.llm.common import bounded_batches, by_rows, texts_of
 
 DOCS_PER_CLASS = 3000
 DICTIONARY_BYTES, SAMPLE_BYTES, MOST_SAMPLES, LEVEL, BLOCK = 112_640, 1024, 6000, 3, 2048
@@ -139,10 +140,6 @@ def _scorer(name: str, shipped) -> QualityScorer:
 
 def score_quality(df: DataFrame, model: QualityModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """All columns of ``df`` and ``score_col``.  A narrow pass; only the text goes through Python."""
-    import pandas as pd
-
-    from dexlake.llm.common import bounded_batches
-
     bounded_batches(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(model)
     name = f"{df.sparkSession.sparkContext.applicationId}-{shipped._jbroadcast.id()}"

@@ -26,6 +26,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -381,8 +382,6 @@ def dedup_digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``df`` with the repeated passages taken out of its texts; characters of which only a part is covered stay.  A null text stays null."""
-    import pandas as pd
-
     spans, key = _spanned(df, id_col, text_col, **kw)
 
     @F.pandas_udf("string")
