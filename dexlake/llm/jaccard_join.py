@@ -5,15 +5,17 @@ sets of similarity t share at least ``l`` of their first ``n - ceil(t n) + l`` s
 if more common shingles are asked for.  Lengthening pays where a prefix holds frequent shingles:
 
 1. Documents with equal sets are one class; only the one with the least id goes on.
-2. Classes that share one of ``STARS`` minhashes are compared with one of them, the bucket's leader, never with each other.  Links found
+2. Classes that share ``AGREE`` of ``STARS`` minhashes with the leader of their buckets are compared with it, never with each other.  Links found
    here join large groups of near copies by as many comparisons as the group has members.
-3. Prefixes of l = 1 are counted: how many different groups (of step 2) have each shingle.  A shingle in more than ``FREQUENT``
-   groups is frequent.  Each document lengthens its prefix to the least l of which at most l - 1 shingles are frequent.  Two documents that
-   link share l of the shorter prefix's shingles, so a rare one among them.  Only rare shingles so make
-   candidates, and only across groups.  New shingles of longer prefixes are counted too, until no more are frequent.
-4. A prefix can grow to ``n - ceil(t n) + LONGEST n`` shingles.  A document for which that isn't enough is *stubborn*; stubborn documents also meet through
-   the frequent shingles of their plain prefixes.  Nothing is capped or left out.
-5. Candidates are verified on their whole sets; links of steps 2 and 5 make the components.
+3. All documents deal out their plain prefixes (l = 1).  A shingle that only one group (of step 2) has makes no candidate; one that more
+   than ``FREQUENT`` groups have is frequent.  Two documents that share a rare shingle are counted: how many they share, and how many frequent
+   ones they may share besides.  The sum must reach what two similar sets have in common up to the end of the shorter prefix, or they aren't similar.
+4. Two documents that share only frequent shingles both have some.  Such documents lengthen their prefixes to the least l of which at most
+   l - 1 shingles are frequent: similar ones share l of the shorter, so a rare one among them.  They deal out their longer prefixes among
+   themselves; if new shingles are frequent there, those that have them go on with a larger l.
+5. A prefix can grow to ``n - ceil(t n) + LONGEST n`` shingles.  Documents for which that isn't enough also meet through the frequent
+   shingles of their plain prefixes.  Nothing is capped or left out.
+6. Candidates are verified on their whole sets; links of steps 2 and 6 make the components.
 
 Defined results: words are cut and lower-cased as bytes (A-Z, ASCII white space); with fewer words than w the whole
 sequence is one shingle; a document without words (null, empty or white space only) has the empty set and no link.  Rows with the
@@ -27,14 +29,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dexlake.llm.common import by_rows, cut
 from dexlake.llm.components import components
 
 U = np.uint64
-STARS, FREQUENT, LONGEST, ROUNDS = 4, 40, 0.1, 4
+STARS, AGREE, FREQUENT, LONGEST, ROUNDS = 6, 3, 40, 0.1, 4
+FEW_IDS = 500_000  # ids, 8 bytes each, that may be broadcast; more are joined by shuffling
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], U)
@@ -114,35 +117,55 @@ def signatures(df: DataFrame, *, id_col: str, text_col: str, width: int, similar
 
 def _sets(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id, tokens) of the documents in ``ids``: whole sets, made again from the texts."""
-    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
     id_type = wanted.schema["id"].dataType.simpleString()
 
     def made(batch: pa.RecordBatch) -> dict:
         return {"id": batch.column(0), "tokens": _lists([shingle_set(t, width) for t in batch.column(1).to_pylist()])}
 
-    return by_rows(wanted, made, f"id {id_type}, tokens array<long>").dropDuplicates(["id"])
+    return by_rows(wanted, made, f"id {id_type}, tokens array<long>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, **kw) -> DataFrame:
     """Those of ``pairs`` (u, v) whose sets are similar enough."""
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = _sets(docs, ids, **kw).withColumn("n", F.size("tokens"))
-    a = sets.select(F.col("id").alias("u"), F.col("tokens").alias("a"), F.col("n").alias("na"))
-    b = sets.select(F.col("id").alias("v"), F.col("tokens").alias("b"), F.col("n").alias("nb"))
-    both = pairs.join(a, "u").join(b, "v")
-    shared = F.size(F.array_intersect("a", "b"))
+    ids = cut(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "ids")
+    sets = _sets(docs, ids, **kw)
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("b")), "v")
+    shared, na, nb = F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b")
     percent = round(similarity * 100)
-    return both.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("u", "v")
+    return both.where(100 * shared >= percent * (na + nb - shared)).select("u", "v").distinct()
 
 
-def _group_of(reps: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, grp) for all ``reps``."""
-    found = components(links)
-    return reps.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
+def _enough(n: F.Column, share: float) -> F.Column:
+    """ceil(share n), exactly for shares of whole percents."""
+    percent = round(share * 100)
+    return F.floor((n * percent + 99) / 100)
 
 
-def _enough(n: F.Column, share: float) -> F.Column:
-    return F.ceil(F.lit(share) * n - F.lit(1e-9))
+def _ordered(x: F.Column, y: F.Column) -> tuple[F.Column, F.Column]:
+    return F.greatest(x, y).alias("u"), F.least(x, y).alias("v")
+
+
+def _shared_tokens(emitted: DataFrame) -> DataFrame:
+    """Rows (token, id, grp) of tokens that several groups have, with the number of rows of each token; one shuffle."""
+    own = Window.partitionBy("token")
+    counted = emitted.withColumn("a", F.min("grp").over(own)).withColumn("b", F.max("grp").over(own)).withColumn("rows", F.count(F.lit(1)).over(own))
+    return cut(counted.where("a <> b").drop("a", "b"), "shared")
+
+
+def _frequent(lists: DataFrame) -> DataFrame:
+    """Tokens that more than FREQUENT groups have."""
+    return cut(lists.where(F.col("rows") > FREQUENT).select("token", "grp").distinct().groupBy("token").count().where(F.col("count") > FREQUENT).select("token"), "frequent")
+
+
+def _meetings(lists: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different groups that meet in ``lists`` and may be similar by their sizes: (u, v, met), u before v in size and id."""
+    rows = lists.join(tokens, "id")
+    x = rows.select("token", F.col("id").alias("x"), F.col("grp").alias("gx"), F.col("n").alias("nx"))
+    y = rows.select("token", F.col("id").alias("y"), F.col("grp").alias("gy"), F.col("n").alias("ny"))
+    met = x.join(y, "token").where((F.col("x") > F.col("y")) & (F.col("gx") != F.col("gy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
+    return met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("met"))
 
 
 def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -150,64 +173,72 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kw = {"id_col": id_col, "text_col": text_col, "width": width}
     percent = round(similarity * 100)
     signed = cut(signatures(df, similarity=similarity, **kw), "signatures")
-
-    classes = signed.where("class_hash is not null and id is not null").groupBy("class_hash").agg(F.min("id").alias("rep"))
-    classes = cut(classes)
-    reps = classes.select(F.col("rep").alias("id"))
-    own = signed.join(reps, "id", "left_semi")
-
-    # stars: every member of a bucket is compared with the bucket's leader
-    keyed = own.select("id", "n_shingles", F.posexplode("minhashes").alias("j", "key"))
-    leaders = keyed.groupBy("j", "key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("id", "j").alias("h"), "id", "n_shingles")).alias("lead")).where("members > 1")
-    stars = keyed.join(leaders, ["j", "key"]).where(F.col("id") != F.col("lead.id"))
-    near_size = (100 * F.least("n_shingles", "lead.n_shingles") >= percent * F.greatest("n_shingles", "lead.n_shingles"))
-    stars = stars.where(near_size).select(F.greatest("id", "lead.id").alias("u"), F.least("id", "lead.id").alias("v")).distinct()
-    stars = cut(stars)
-    links = cut(_verified(df, stars, similarity, **kw))
-    group = cut(_group_of(reps, links))
-
-    # prefixes of l = 1, and longer ones where frequent shingles stand in them
-    tokens = own.join(group, "id").select("id", "grp", "n_shingles", "prefix")
+    classes = cut(signed.where("class_hash is not null and id is not null").groupBy("class_hash").agg(F.min("id").alias("id")), "classes")
+    reps = classes.select("id")
     n = F.col("n_shingles")
+
+    # 2: every member of a bucket is compared with the bucket's leader
+    keyed = signed.select("id", n.alias("n"), "minhashes").join(reps, "id", "left_semi").select("id", "n", F.posexplode("minhashes").alias("j", "key"))
+    leaders = keyed.groupBy("j", "key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("lead")).where("members > 1")
+    stars = keyed.join(leaders, ["j", "key"]).where(F.col("id") != F.col("lead.id")).where(100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
+    stars = stars.select(*_ordered(F.col("id"), F.col("lead.id")), "j").distinct().groupBy("u", "v").count().where(F.col("count") >= AGREE).select("u", "v")
+    stars = cut(stars, "stars")
+    links = cut(_verified(df, stars, similarity, **kw), "links")
+    near = components(links)
+    group = cut(reps.join(near, "id", "left").select("id", F.coalesce("component", "id").alias("grp")), "group")
+
+    # 3: plain prefixes
     plain = n - _enough(n, similarity) + 1
+    sized = signed.select("id", "n_shingles", "prefix").join(group, "id")
+    lists = _shared_tokens(sized.select("id", "grp", F.explode(F.slice("prefix", 1, plain.cast("int"))).alias("token")))
+    frequent = _frequent(lists)
+    rare = lists.join(frequent, "token", "left_anti")
+    held = lists.join(frequent, "token", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("frequent"))
+    held = cut(held, "held")
+    ends = signed.join(rare.select("id").distinct(), "id", "left_semi").select("id", n.alias("n"), F.element_at("prefix", plain.cast("int")).alias("end"))
+    facts = cut(ends.join(held, "id", "left").fillna(0, ["frequent"]).dropDuplicates(["id"]), "facts")
+    met = _meetings(rare, facts.select("id", "n"), percent)
+    met = met.join(facts.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("end").alias("ex"), F.col("frequent").alias("fx")), "x").join(facts.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("end").alias("ey"), F.col("frequent").alias("fy")), "y")
+    # similar sets have this many in common; behind the end of the shorter prefix no more than that set has left
+    overlap = F.floor((percent * (F.col("nx") + F.col("ny")) + 99 + percent) / (100 + percent))
+    short = F.when(F.col("ex") <= F.col("ey"), F.col("nx")).otherwise(F.col("ny"))
+    needed = overlap - (_enough(short, similarity) - 1)
+    pairs = met.where(F.col("met") + F.least("fx", "fy") >= needed).select(*_ordered(F.col("x"), F.col("y")))
+
+    # 4: documents with frequent shingles, among themselves, with longer prefixes
     most = F.floor(F.lit(LONGEST * similarity) * n) + 1  # what every similar document's stored prefix allows for
-    state = tokens.select("id", "grp", "n_shingles", "prefix", F.lit(1).cast("long").alias("l"), F.lit(False).alias("stubborn"))
-    frequent = None
+    few, every = held.select("id"), frequent
+    stubborn = few.limit(0)
     for _ in range(ROUNDS):
-        reach = F.when(F.col("stubborn"), F.size("prefix")).otherwise(plain - 1 + F.col("l"))
-        emitted = state.select("grp", F.explode(F.slice("prefix", 1, F.greatest(reach, F.lit(1)).cast("int"))).alias("token"))
-        counted = emitted.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b"), F.count(F.lit(1)).alias("rows")).where(F.col("a") != F.col("b")).where(F.col("rows") > FREQUENT)
-        many = emitted.join(counted.select("token"), "token", "left_semi").distinct().groupBy("token").count().where(F.col("count") > FREQUENT).select("token")
-        many = cut(many)
-        if frequent is not None:
-            many = cut(many.unionByName(frequent).distinct())
-        if many.count() == (0 if frequent is None else frequent.count()):
+        if few.isEmpty():
             break
-        frequent = many
-        # frequent shingles of a document, by their place in its prefix
-        placed = state.select("id", F.posexplode("prefix").alias("place", "token")).join(frequent, "token", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("places"))
-        # with l - 1 frequent ones allowed, the l-th must stand behind the prefix: places[l - 1] >= plain - 1 + l
-        fits = F.filter(F.sequence(F.lit(1).cast("long"), most), lambda k: (F.size("places") < k) | (F.element_at("places", F.least(k, F.size("places").cast("long")).cast("int")) >= plain - 1 + k))
-        state = state.drop("l", "stubborn").join(placed, "id", "left")
-        state = state.select("id", "grp", "n_shingles", "prefix", F.when(F.col("places").isNull(), F.lit(1).cast("long")).otherwise(F.coalesce(F.try_element_at(fits, F.lit(1)), most)).alias("l"), (F.col("places").isNotNull() & (F.size(fits) == 0)).alias("stubborn"))
-        state = cut(state)
-
-    reach = F.when(F.col("stubborn"), F.size("prefix")).otherwise(plain - 1 + F.col("l"))
-    emitted = state.select("id", "grp", "n_shingles", F.explode(F.slice("prefix", 1, F.greatest(reach, F.lit(1)).cast("int"))).alias("token"))
-    if frequent is not None:
-        meeting = state.where("stubborn").select("id", "grp", "n_shingles", F.explode(F.slice("prefix", 1, F.greatest(plain, F.lit(1)).cast("int"))).alias("token")).join(frequent, "token", "left_semi")
-        emitted = emitted.join(frequent, "token", "left_anti").unionByName(meeting.select("id", "grp", "n_shingles", "token"))
-    shared = emitted.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where(F.col("a") != F.col("b")).select("token")
-    lists = emitted.join(shared, "token")
-    x = lists.select("token", F.col("id").alias("u"), F.col("grp").alias("gu"), F.col("n_shingles").alias("nu"))
-    y = lists.select("token", F.col("id").alias("v"), F.col("grp").alias("gv"), F.col("n_shingles").alias("nv"))
-    pairs = x.join(y, "token").where((F.col("u") > F.col("v")) & (F.col("gu") != F.col("gv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))).select("u", "v").distinct()
-    pairs = cut(pairs.join(stars, ["u", "v"], "left_anti"))
-    more = cut(_verified(df, pairs, similarity, **kw))
-
-    # groups are joined by the links between them
+        state = sized.join(few, "id", "left_semi")
+        placed = state.select("id", F.posexplode("prefix").alias("place", "token")).join(every, "token", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("places"))
+        state = state.join(placed, "id", "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
+        # l fits if the l-th frequent shingle stands behind the prefix of l
+        fits = F.filter(F.sequence(F.lit(1).cast("long"), most), lambda k: (F.size("places") < k) | (F.try_element_at("places", k.cast("int")) >= plain - 1 + k))
+        reach = F.when(F.size(fits) == 0, F.size("prefix")).otherwise(plain - 1 + F.try_element_at(fits, F.lit(1)))
+        state = cut(state.select("id", "grp", "n_shingles", "prefix", F.greatest(reach, F.lit(1)).cast("int").alias("reach"), (F.size(fits) == 0).alias("stubborn")), "state")
+        dealt = state.select("id", "grp", F.explode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("token")).join(every, "token", "left_anti")
+        lists = _shared_tokens(dealt)
+        new = _frequent(lists)
+        more = _meetings(lists.join(new, "token", "left_anti"), state.select("id", n.alias("n")), percent)
+        pairs = pairs.unionByName(more.select(*_ordered(F.col("x"), F.col("y"))))
+        every = cut(every.unionByName(new), "every")
+        few = cut(lists.join(new, "token", "left_semi").select("id").distinct(), "few")
+        stubborn = stubborn.unionByName(state.where("stubborn").select("id"))
+    # 5: documents of which no prefix is rare enough meet through frequent shingles
+    stubborn = cut(stubborn.unionByName(few).distinct(), "stubborn")
+    if not stubborn.isEmpty():
+        stubborn = sized.join(stubborn, "id", "left_semi")
+        lists = _shared_tokens(stubborn.select("id", "grp", F.explode(F.slice("prefix", 1, plain.cast("int"))).alias("token")).join(every, "token", "left_semi"))
+        more = _meetings(lists, stubborn.select("id", n.alias("n")), percent)
+        pairs = pairs.unionByName(more.select(*_ordered(F.col("x"), F.col("y"))))
+
+    pairs = cut(pairs.distinct().join(stars, ["u", "v"], "left_anti"), "pairs")
+    more = _verified(df, pairs, similarity, **kw)
     across = more.join(group.select(F.col("id").alias("u"), F.col("grp").alias("gu")), "u").join(group.select(F.col("id").alias("v"), F.col("grp").alias("gv")), "v").select(F.col("gu").alias("u"), F.col("gv").alias("v"))
     merged = components(across).select(F.col("id").alias("grp"), "component")
     final = group.join(merged, "grp", "left").select("id", F.coalesce("component", "grp").alias("component"))
-    known = classes.join(final, classes["rep"] == final["id"]).select("class_hash", "component")
-    return signed.join(known, "class_hash", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    known = classes.join(final, "id").select("class_hash", "component")
+    return signed.select("id", "n_shingles", "class_hash").join(known, "class_hash", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
