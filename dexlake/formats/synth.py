@@ -1,4 +1,4 @@
-"""Building DEX files from descriptions, for round trips: what is written from rows must come back as those rows."""
+"""Building DEX files from descriptions: for round trips (what is written from rows must come back as those rows) and for rebuilt classes."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import struct
 import zlib
 from dataclasses import dataclass, field
 
-from dexlake.formats.binary import NO_INDEX, mutf8_bytes, put_uleb
+from dexlake.formats.binary import NO_INDEX, mutf8_bytes, put_sleb, put_uleb
 
 
 @dataclass
@@ -19,6 +19,19 @@ class Method:
     flags: int = 1
     body: list[tuple] | None = None
     virtual: bool = True
+    code: Code | None = None  # a body taken from another file, instead of ``body``
+
+
+@dataclass
+class Code:
+    """A body whose references are symbols: (unit offset of the index, kind, symbol, bytes wide)."""
+
+    registers: int
+    ins: int
+    outs: int
+    insns: bytes
+    references: list[tuple[int, str, object, int]] = field(default_factory=list)
+    tries: list[tuple[int, int, list[tuple[str | None, int]]]] = field(default_factory=list)  # start, count, handlers (type or None for all, address)
 
 
 @dataclass
@@ -74,7 +87,9 @@ def build(classes: list[Class], *, version: bytes = b"035", tail: bytes = b"", c
             fields.add((c.descriptor, name, kind))
         for m in c.methods:
             use_method(c.descriptor, m.name, m.signature)
-            for what, x in m.body or ():
+            carried = [("call" if kind == "method" else kind, x) for _, kind, x, _ in m.code.references] if m.code else []
+            carried += [("type", t) for _, _, handlers in m.code.tries for t, _ in handlers if t] if m.code else []
+            for what, x in [*(m.body or ()), *carried]:
                 if what == "string":
                     strings.add(x)
                 elif what == "type":
@@ -83,6 +98,11 @@ def build(classes: list[Class], *, version: bytes = b"035", tail: bytes = b"", c
                     fields.add(x)
                 elif what == "call":
                     use_method(*x)
+                elif what == "proto":
+                    params, result = split_signature(x)
+                    types.update((result, *params))
+                    strings.add(_shorty(params, result))
+                    protos.add((result, *params))
     for owner, name, kind in fields:
         types.update((owner, kind))
         strings.add(name)
@@ -129,7 +149,30 @@ def build(classes: list[Class], *, version: bytes = b"035", tail: bytes = b"", c
         data.extend(put_uleb(len(s.encode("utf-16-le", "surrogatepass")) // 2) + mutf8_bytes(s) + b"\0")
     proto_rows = b"".join(struct.pack("<III", sid[_shorty(list(p[1:]), p[0])], tid[p[0]], list_at(p[1:])) for p in proto_list)
 
+    def carried_at(c: Code) -> int:
+        raw = bytearray(c.insns)
+        numbers = {"string": sid.__getitem__, "type": tid.__getitem__, "field": fid.__getitem__, "method": mid.__getitem__, "proto": proto_of}
+        for unit, kind, symbol, width in c.references:
+            raw[unit * 2 : unit * 2 + width] = numbers[kind](symbol).to_bytes(width, "little")
+        align()
+        start = here()
+        data.extend(struct.pack("<HHHHII", c.registers, c.ins, c.outs, len(c.tries), 0, len(raw) // 2) + raw)
+        if c.tries:
+            data.extend(b"\0" * (len(raw) % 4))
+            lists_, places = bytearray(put_uleb(len(c.tries))), []
+            for _, _, handlers in c.tries:
+                places.append(len(lists_))
+                typed = [(t, a) for t, a in handlers if t]
+                rest = [a for t, a in handlers if not t]
+                lists_ += put_sleb(-len(typed) if rest else len(typed)) + b"".join(put_uleb(tid[t]) + put_uleb(a) for t, a in typed) + b"".join(put_uleb(a) for a in rest)
+            for (first, count, _), place in zip(c.tries, places, strict=True):
+                data.extend(struct.pack("<IHH", first, count, place))
+            data.extend(lists_)
+        return start
+
     def code_at(m: Method) -> int:
+        if m.code:
+            return carried_at(m.code)
         units: list[int] = []
         for what, x in m.body or ():
             if what == "string":
@@ -158,7 +201,7 @@ def build(classes: list[Class], *, version: bytes = b"035", tail: bytes = b"", c
             groups.append([put_uleb(i - (own[k - 1][0] if k else 0)) + put_uleb(f) for k, (i, f) in enumerate(own)])
         for virtual in (False, True):
             own = sorted(((mid[c.descriptor, m.name, m.signature], m) for m in c.methods if m.virtual == virtual), key=lambda x: x[0])
-            groups.append([put_uleb(i - (own[k - 1][0] if k else 0)) + put_uleb(m.flags) + put_uleb(code_at(m) if m.body is not None else 0) for k, (i, m) in enumerate(own)])
+            groups.append([put_uleb(i - (own[k - 1][0] if k else 0)) + put_uleb(m.flags) + put_uleb(code_at(m) if m.body is not None or m.code is not None else 0) for k, (i, m) in enumerate(own)])
         members_at = 0
         if any(groups):
             members_at = here()

@@ -44,3 +44,27 @@ def test_hidden_strings_come_back(spark):
     hits = spark.createDataFrame([("m", ["a"])], "caller string, matched array<string>")
     more = deobfuscate.with_revealed(hits, spark.createDataFrame([("m", "b"), ("m", "a")], "caller string, text string"), ["caller"])
     assert more.first()["matched_text"] == "a; b"
+
+
+def test_rebuilt_class_has_the_same_code_and_no_other_class(spark):
+    from dexlake.formats import dex, synth
+    from dexlake.operators import rebuild
+
+    code = synth.Code(3, 1, 1, bytes.fromhex("1a000000" "6e1000000000" "0d00" "0e00"), [(1, "string", "zz", 2), (3, "method", ("La/C;", "go", "()V"), 2)], [(0, 2, [("La/E;", 5), (None, 6)])])
+    classes = [synth.Class("La/A;", methods=[synth.Method("x", body=[("string", "only here")])]), synth.Class("La/B;", fields=[("f", "I", 1, False)], interfaces=["La/I;"], source="B.java", methods=[synth.Method("run", code=code), synth.Method("abs", "(J)I", 0x401)])]
+    whole = synth.build(classes)
+    small = rebuild.rebuilt(whole, "La/B;")
+    assert rebuild.rebuilt(whole, "La/No;") is None and len(small) < len(whole)
+
+    def shown(raw):
+        d = dex.Dex(raw)
+        c = rebuild.class_of(d, "La/B;")
+        return c.descriptor, c.parent, c.interfaces, c.source, c.fields, [(m.name, m.signature, m.flags, m.code and (m.code.references, m.code.tries)) for m in c.methods]
+
+    assert shown(small) == shown(whole)
+    found = list(dex.rows(small, "x"))
+    assert not [r for r in found if r[1] == "issue"] and "only here" not in [r[2].get("text") for r in found if r[1] == "string"]
+    assert [r[2]["sha1_ok"] for r in found if r[1] == "dex"] == [1]
+    frame = spark.createDataFrame([("one", bytearray(whole)), ("two", bytearray(b"x"))], "aid string, content binary")
+    got = {r["aid"]: r for r in rebuild.rebuilt_classes(frame, "La/B;").collect()}
+    assert got["one"]["content"] == small and got["two"]["error"]
