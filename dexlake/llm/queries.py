@@ -95,4 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for those that SQL can express; the others are tested against brute force, round trips and held-out accuracy."""
+    from dexlake.llm.oracles import queries_sql
+
+    return queries_sql(SHARES)
