@@ -5,16 +5,17 @@ sets of similarity t share at least ``l`` of their first ``n - ceil(t n) + l`` s
 if more common shingles are asked for.  Lengthening pays where a prefix holds frequent shingles:
 
 1. Documents with equal sets are one class; only the one with the least id goes on.
-2. Classes that share ``AGREE`` of ``STARS`` minhashes with the leader of their buckets are compared with it, never with each other.  Links found
-   here join large groups of near copies by as many comparisons as the group has members.
+2. Classes that share ``AGREE`` of ``STARS`` minhashes with the leader of their buckets are compared with it, never with each other.  In buckets of
+   more than ``LARGE`` members ``LEADERS`` others are drawn in each of some more turns, and compared with members of other groups.  Links found here join large
+   groups of near copies by a number of comparisons in proportion to their members.
 3. All documents deal out their plain prefixes (l = 1).  A shingle that only one group (of step 2) has makes no candidate; one that more
    than ``FREQUENT`` groups have is frequent.  Two documents that share a rare shingle are counted: how many they share, and how many frequent
    ones they may share besides.  The sum must reach what two similar sets have in common up to the end of the shorter prefix, or they aren't similar.
 4. Two documents that share only frequent shingles both have some.  Such documents lengthen their prefixes to the least l of which at most
    l - 1 shingles are frequent: similar ones share l of the shorter, so a rare one among them.  They deal out their longer prefixes among
    themselves; if new shingles are frequent there, those that have them go on with a larger l.
-5. A prefix can grow to ``n - ceil(t n) + LONGEST n`` shingles.  Documents for which that isn't enough also meet through the frequent
-   shingles of their plain prefixes.  Nothing is capped or left out.
+5. A stored prefix has ``n - ceil(t n) + LONGEST n`` shingles.  Documents for which that isn't enough go through step 4 again with their whole sets; those of
+   which even nearly all shingles are frequent meet through the frequent shingles of their plain prefixes.  Nothing is capped or left out.
 6. Candidates are verified on their whole sets; links of steps 2 and 6 make the components.
 
 Defined results: words are cut and lower-cased as bytes (A-Z, ASCII white space); with fewer words than w the whole
@@ -36,7 +37,7 @@ from dexlake.llm.common import by_rows, cut
 from dexlake.llm.components import components
 
 U = np.uint64
-STARS, AGREE, FREQUENT, LONGEST, ROUNDS = 6, 3, 40, 0.1, 4
+STARS, AGREE, TURNS, LARGE, LEADERS, FREQUENT, LONGEST, ROUNDS = 6, 3, 4, 64, 8, 40, 0.1, 3
 FEW_IDS = 500_000  # ids, 8 bytes each, that may be broadcast; more are joined by shuffling
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -87,8 +88,8 @@ def prefix_length(n: int, similarity: float, matches: int = 1) -> int:
     return max(0, min(n, n - math.ceil(similarity * n - 1e-9) + matches))
 
 
-def longest_prefix(n: int, similarity: float) -> int:
-    return prefix_length(n, similarity, int(LONGEST * n) + 1)
+def longest_prefix(n: int, similarity: float, longest: float = LONGEST) -> int:
+    return prefix_length(n, similarity, int(longest * n) + 1)
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -97,7 +98,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def signatures(df: DataFrame, *, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+def signatures(df: DataFrame, *, id_col: str, text_col: str, width: int, similarity: float, longest: float = LONGEST) -> DataFrame:
     """(id, n_shingles, class_hash, minhashes, prefix) of every row; class_hash is null for the empty set."""
     id_type = df.schema[id_col].dataType.simpleString()
 
@@ -109,7 +110,7 @@ def signatures(df: DataFrame, *, id_col: str, text_col: str, width: int, similar
             classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             with np.errstate(over="ignore"):
                 least.append(np.array([(s * o).min() for o in _ODD[:STARS]], U) if len(s) else s)
-            prefixes.append(s[: longest_prefix(len(s), similarity)])
+            prefixes.append(s[: longest_prefix(len(s), similarity, longest)])
         return {"id": batch.column(0), "n_shingles": sizes, "class_hash": classes, "minhashes": _lists(least), "prefix": _lists(prefixes)}
 
     return by_rows(df.select(id_col, text_col), signed, f"id {id_type}, n_shingles long, class_hash binary, minhashes array<long>, prefix array<long>")
@@ -127,16 +128,52 @@ def _sets(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, width:
     return by_rows(wanted, made, f"id {id_type}, tokens array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, **kw) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose sets are similar enough."""
-    ids = cut(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "ids")
-    sets = _sets(docs, ids, **kw)
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose ``sets`` (id, tokens) are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("b")), "v")
     shared, na, nb = F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b")
     percent = round(similarity * 100)
     return both.where(100 * shared >= percent * (na + nb - shared)).select("u", "v").distinct()
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, **kw) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose documents are similar enough."""
+    ids = cut(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "ids")
+    return _similar(pairs, _sets(docs, ids, **kw), similarity)
+
+
+def _led(keyed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of members of different groups with their buckets' leaders of a turn, where they share enough buckets."""
+    draws = range(LEADERS) if turn else range(1)
+    drawn = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(turn * LEADERS + k)).alias("h"), "id", "n", "grp")) for k in draws]))
+    leaders = keyed.groupBy("j", "key").agg(F.count(F.lit(1)).alias("members"), drawn.alias("leads")).where(F.col("members") > (LARGE if turn else 1))
+    leaders = leaders.select("j", "key", F.explode("leads").alias("lead"))
+    met = keyed.join(leaders, ["j", "key"]).where((F.col("grp") != F.col("lead.grp")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
+    return met.select(*_ordered(F.col("id"), F.col("lead.id")), "j").distinct().groupBy("u", "v").count().where(F.col("count") >= AGREE).select("u", "v")
+
+
+def _stars(docs: DataFrame, keyed: DataFrame, similarity: float, **kw) -> tuple[DataFrame, DataFrame]:
+    """(pairs that were compared, (id, grp) of what their links join); ``keyed`` has id, n, j and key."""
+    percent = round(similarity * 100)
+    pairs = cut(_led(keyed.withColumn("grp", F.col("id")), 0, percent), "stars")
+    near = cut(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "near")
+    sets = cut(_sets(docs, near, **kw), "sets")
+    keyed = cut(keyed.join(near, "id", "left_semi"), "keyed")
+    tried, edges = pairs, None
+    for turn in range(1, TURNS + 1):
+        links = _similar(pairs, sets, similarity)
+        joined = components(links if edges is None else links.unionByName(edges))
+        group = cut(near.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("grp")), "group")
+        edges = group.where("id <> grp").select(F.col("id").alias("u"), F.col("grp").alias("v"))
+        if turn == TURNS:
+            break
+        pairs = cut(_led(keyed.join(group, "id"), turn, percent).join(tried, ["u", "v"], "left_anti"), "stars")
+        if pairs.isEmpty():
+            break
+        tried = tried.unionByName(pairs)
+    return tried, group
+
+
 def _enough(n: F.Column, share: float) -> F.Column:
     """ceil(share n), exactly for shares of whole percents."""
     percent = round(share * 100)
@@ -159,33 +196,74 @@ def _frequent(lists: DataFrame) -> DataFrame:
     return cut(lists.where(F.col("rows") > FREQUENT).select("token", "grp").distinct().groupBy("token").count().where(F.col("count") > FREQUENT).select("token"), "frequent")
 
 
-def _meetings(lists: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups that meet in ``lists`` and may be similar by their sizes: (u, v, met), u before v in size and id."""
-    rows = lists.join(tokens, "id")
+def _candidates(lists: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different groups that meet in ``lists`` and may be similar.
+
+    ``facts`` has for each id its size n, how many shingles it dealt out (reach), the last of these (end), and how many of them are in no list
+    (hidden).  Up to the lesser of two ends both dealt out all they have; similar sets have at least overlap - (n - reach) in common there, n and reach
+    those of the set that ends first.  They meet in what isn't hidden, so that many less what both may hide.
+    """
+    rows = lists.join(facts.select("id", "n"), "id")
     x = rows.select("token", F.col("id").alias("x"), F.col("grp").alias("gx"), F.col("n").alias("nx"))
     y = rows.select("token", F.col("id").alias("y"), F.col("grp").alias("gy"), F.col("n").alias("ny"))
     met = x.join(y, "token").where((F.col("x") > F.col("y")) & (F.col("gx") != F.col("gy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
-    return met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("met"))
+    met = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("met"))
+    for side in "xy":
+        met = met.join(facts.select(F.col("id").alias(side), *[F.col(c).alias(c + side) for c in ("n", "reach", "end", "hidden")]), side)
+    overlap = F.floor((percent * (F.col("nx") + F.col("ny")) + 99 + percent) / (100 + percent))
+    left = F.when(F.col("endx") <= F.col("endy"), F.col("nx") - F.col("reachx")).otherwise(F.col("ny") - F.col("reachy"))
+    return met.where(F.col("met") + F.least("hiddenx", "hiddeny") >= overlap - left).select(*_ordered(F.col("x"), F.col("y")))
+
+
+def _lengthened(sized: DataFrame, few: DataFrame, every: DataFrame, similarity: float, longest: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates among the documents ``few`` (id) through rare shingles of prefixes that are long enough; those for which none is; all frequent tokens.
+
+    ``sized`` has id, grp, n_shingles and a prefix long enough for ``longest`` times n_shingles matches; ``every`` has the frequent tokens known so far.
+    """
+    percent, n = round(similarity * 100), F.col("n_shingles")
+    plain = n - _enough(n, similarity) + 1
+    most = F.floor(F.lit(longest * similarity) * n) + 1  # what the prefix of every similar document allows for
+    stubborn, pairs = few.limit(0), None
+    for _ in range(ROUNDS):
+        if few.isEmpty():
+            break
+        state = sized.join(few, "id", "left_semi")
+        placed = state.select("id", F.posexplode("prefix").alias("place", "token")).join(every, "token", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("places"))
+        state = state.join(placed, "id", "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
+        # l fits if the l-th frequent shingle stands behind the prefix of l
+        fits = F.filter(F.sequence(F.lit(1).cast("long"), most), lambda k: (F.size("places") < k) | (F.try_element_at("places", k.cast("int")) >= plain - 1 + k))
+        reach = F.when(F.size(fits) == 0, F.size("prefix")).otherwise(plain - 1 + F.try_element_at(fits, F.lit(1)))
+        reach = F.greatest(F.least(reach, F.size("prefix")), F.lit(1)).cast("int")
+        state = cut(state.select("id", "grp", "n_shingles", "prefix", reach.alias("reach"), F.size(F.filter("places", lambda k: k < reach)).alias("hidden"), (F.size(fits) == 0).alias("stubborn")), "state")
+        dealt = state.select("id", "grp", F.explode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("token")).join(every, "token", "left_anti")
+        lists = _shared_tokens(dealt)
+        new = _frequent(lists)
+        also = lists.join(new, "token", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("also"))
+        facts = state.join(also, "id", "left").select("id", n.alias("n"), "reach", F.element_at("prefix", F.col("reach")).alias("end"), (F.col("hidden") + F.coalesce("also", F.lit(0))).alias("hidden"))
+        found = cut(_candidates(lists.join(new, "token", "left_anti"), cut(facts, "facts"), percent), "found")
+        pairs = found if pairs is None else pairs.unionByName(found)
+        every = cut(every.unionByName(new), "every")
+        few = cut(lists.join(new, "token", "left_semi").select("id").distinct(), "few")
+        stubborn = stubborn.unionByName(state.where("stubborn").select("id"))
+    stubborn = cut(stubborn.unionByName(few).distinct(), "stubborn")
+    if pairs is None:
+        pairs = stubborn.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
+    return pairs, stubborn, every
 
 
-def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, longest: float = LONGEST) -> DataFrame:
     """(id_col, n_shingles, component_id): one row per input row; see the module for what is done."""
     kw = {"id_col": id_col, "text_col": text_col, "width": width}
     percent = round(similarity * 100)
-    signed = cut(signatures(df, similarity=similarity, **kw), "signatures")
+    signed = cut(signatures(df, similarity=similarity, longest=longest, **kw), "signatures")
     classes = cut(signed.where("class_hash is not null and id is not null").groupBy("class_hash").agg(F.min("id").alias("id")), "classes")
     reps = classes.select("id")
     n = F.col("n_shingles")
 
     # 2: every member of a bucket is compared with the bucket's leader
     keyed = signed.select("id", n.alias("n"), "minhashes").join(reps, "id", "left_semi").select("id", "n", F.posexplode("minhashes").alias("j", "key"))
-    leaders = keyed.groupBy("j", "key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("lead")).where("members > 1")
-    stars = keyed.join(leaders, ["j", "key"]).where(F.col("id") != F.col("lead.id")).where(100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
-    stars = stars.select(*_ordered(F.col("id"), F.col("lead.id")), "j").distinct().groupBy("u", "v").count().where(F.col("count") >= AGREE).select("u", "v")
-    stars = cut(stars, "stars")
-    links = cut(_verified(df, stars, similarity, **kw), "links")
-    near = components(links)
-    group = cut(reps.join(near, "id", "left").select("id", F.coalesce("component", "id").alias("grp")), "group")
+    stars, joined = _stars(df, keyed, similarity, **kw)
+    group = cut(reps.join(joined, "id", "left").select("id", F.coalesce("grp", "id").alias("grp")), "group")
 
     # 3: plain prefixes
     plain = n - _enough(n, similarity) + 1
@@ -195,45 +273,25 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rare = lists.join(frequent, "token", "left_anti")
     held = lists.join(frequent, "token", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("frequent"))
     held = cut(held, "held")
-    ends = signed.join(rare.select("id").distinct(), "id", "left_semi").select("id", n.alias("n"), F.element_at("prefix", plain.cast("int")).alias("end"))
-    facts = cut(ends.join(held, "id", "left").fillna(0, ["frequent"]).dropDuplicates(["id"]), "facts")
-    met = _meetings(rare, facts.select("id", "n"), percent)
-    met = met.join(facts.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("end").alias("ex"), F.col("frequent").alias("fx")), "x").join(facts.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("end").alias("ey"), F.col("frequent").alias("fy")), "y")
-    # similar sets have this many in common; behind the end of the shorter prefix no more than that set has left
-    overlap = F.floor((percent * (F.col("nx") + F.col("ny")) + 99 + percent) / (100 + percent))
-    short = F.when(F.col("ex") <= F.col("ey"), F.col("nx")).otherwise(F.col("ny"))
-    needed = overlap - (_enough(short, similarity) - 1)
-    pairs = met.where(F.col("met") + F.least("fx", "fy") >= needed).select(*_ordered(F.col("x"), F.col("y")))
+    dealt = sized.select("id", n.alias("n"), plain.alias("reach"), F.element_at("prefix", plain.cast("int")).alias("end"))
+    dealt = dealt.join(rare.select("id").distinct(), "id", "left_semi").join(held.withColumnRenamed("frequent", "hidden"), "id", "left").fillna(0, ["hidden"])
+    pairs = cut(_candidates(rare, cut(dealt, "facts"), percent), "found")
 
     # 4: documents with frequent shingles, among themselves, with longer prefixes
-    most = F.floor(F.lit(LONGEST * similarity) * n) + 1  # what every similar document's stored prefix allows for
-    few, every = held.select("id"), frequent
-    stubborn = few.limit(0)
-    for _ in range(ROUNDS):
-        if few.isEmpty():
-            break
-        state = sized.join(few, "id", "left_semi")
-        placed = state.select("id", F.posexplode("prefix").alias("place", "token")).join(every, "token", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("places"))
-        state = state.join(placed, "id", "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
-        # l fits if the l-th frequent shingle stands behind the prefix of l
-        fits = F.filter(F.sequence(F.lit(1).cast("long"), most), lambda k: (F.size("places") < k) | (F.try_element_at("places", k.cast("int")) >= plain - 1 + k))
-        reach = F.when(F.size(fits) == 0, F.size("prefix")).otherwise(plain - 1 + F.try_element_at(fits, F.lit(1)))
-        state = cut(state.select("id", "grp", "n_shingles", "prefix", F.greatest(reach, F.lit(1)).cast("int").alias("reach"), (F.size(fits) == 0).alias("stubborn")), "state")
-        dealt = state.select("id", "grp", F.explode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("token")).join(every, "token", "left_anti")
-        lists = _shared_tokens(dealt)
-        new = _frequent(lists)
-        more = _meetings(lists.join(new, "token", "left_anti"), state.select("id", n.alias("n")), percent)
-        pairs = pairs.unionByName(more.select(*_ordered(F.col("x"), F.col("y"))))
-        every = cut(every.unionByName(new), "every")
-        few = cut(lists.join(new, "token", "left_semi").select("id").distinct(), "few")
-        stubborn = stubborn.unionByName(state.where("stubborn").select("id"))
+    found, stubborn, every = _lengthened(sized, held.select("id"), frequent, similarity, longest)
+    pairs = pairs.unionByName(found)
+    if not stubborn.isEmpty():
+        whole = _sets(df, stubborn, **kw).join(group, "id").select("id", F.size("tokens").cast("long").alias("n_shingles"), F.col("tokens").alias("prefix"), "grp")
+        found, stubborn, every = _lengthened(cut(whole.dropDuplicates(["id"]), "whole"), stubborn, every, similarity, similarity)
+        pairs = pairs.unionByName(found)
+
     # 5: documents of which no prefix is rare enough meet through frequent shingles
-    stubborn = cut(stubborn.unionByName(few).distinct(), "stubborn")
     if not stubborn.isEmpty():
         stubborn = sized.join(stubborn, "id", "left_semi")
         lists = _shared_tokens(stubborn.select("id", "grp", F.explode(F.slice("prefix", 1, plain.cast("int"))).alias("token")).join(every, "token", "left_semi"))
-        more = _meetings(lists, stubborn.select("id", n.alias("n")), percent)
-        pairs = pairs.unionByName(more.select(*_ordered(F.col("x"), F.col("y"))))
+        # with a rare shingle in common they are candidates of step 3 already; else they meet here in all they share
+        facts = stubborn.select("id", n.alias("n"), plain.alias("reach"), F.element_at("prefix", plain.cast("int")).alias("end"), F.lit(0).alias("hidden"))
+        pairs = pairs.unionByName(cut(_candidates(lists, cut(facts, "facts"), percent), "found"))
 
     pairs = cut(pairs.distinct().join(stars, ["u", "v"], "left_anti"), "pairs")
     more = _verified(df, pairs, similarity, **kw)

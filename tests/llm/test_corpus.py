@@ -164,13 +164,13 @@ def test_shingles_are_sets_of_words():
     assert len(jaccard_join.shingle_set(words(300, 8))) == len(plain)
 
 
-@pytest.mark.parametrize(("frequent", "agree", "longest"), [(40, 3, 0.1), (1, 9, 0.02), (2, 9, 0.3)])
-def test_near_duplicates_equal_brute_force(docs, monkeypatch, frequent, agree, longest):
+@pytest.mark.parametrize(("frequent", "agree", "longest", "large"), [(40, 3, 0.1, 64), (1, 9, 0.02, 64), (2, 9, 0.3, 64), (1, 1, 0.1, 1)])
+def test_near_duplicates_equal_brute_force(docs, monkeypatch, frequent, agree, longest, large):
     """With few groups allowed for each shingle and without stars the adaptive and the stubborn ways have to find all links."""
-    for name, value in (("FREQUENT", frequent), ("AGREE", agree), ("LONGEST", longest)):
+    for name, value in (("FREQUENT", frequent), ("AGREE", agree), ("LARGE", large)):
         monkeypatch.setattr(jaccard_join, name, value)
     sizes, expected = brute_components(texts_of(docs))
-    got = jaccard_join.jaccard_components(docs).collect()
+    got = jaccard_join.jaccard_components(docs, longest=longest).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == expected
     assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes
 
