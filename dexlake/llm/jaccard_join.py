@@ -211,7 +211,8 @@ def _candidates(lists: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     for side in "xy":
         met = met.join(facts.select(F.col("id").alias(side), *[F.col(c).alias(c + side) for c in ("n", "reach", "end", "hidden")]), side)
     overlap = F.floor((percent * (F.col("nx") + F.col("ny")) + 99 + percent) / (100 + percent))
-    left = F.when(F.col("endx") <= F.col("endy"), F.col("nx") - F.col("reachx")).otherwise(F.col("ny") - F.col("reachy"))
+    ends = [F.col(c).bitwiseXOR(F.lit(-1 << 63)) for c in ("endx", "endy")]  # in the order of the sets, which is unsigned
+    left = F.when(ends[0] <= ends[1], F.col("nx") - F.col("reachx")).otherwise(F.col("ny") - F.col("reachy"))
     return met.where(F.col("met") + F.least("hiddenx", "hiddeny") >= overlap - left).select(*_ordered(F.col("x"), F.col("y")))
 
 

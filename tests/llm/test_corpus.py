@@ -175,6 +175,22 @@ def test_near_duplicates_equal_brute_force(docs, monkeypatch, frequent, agree, l
     assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes
 
 
+@pytest.mark.parametrize("frequent", [40, 1])
+def test_near_copies_of_few_words_are_all_linked(spark, monkeypatch, frequent):
+    """Prefixes of one or two shingles, whose ends lie on both sides of 2**63, and no links but those of the count filter."""
+    for name, value in (("FREQUENT", frequent), ("AGREE", 9)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    r, rows = random.Random(5), []
+    for k in range(300):
+        whole = words(r.randint(6, 30), 1000 + k).split()
+        copies = [whole, whole[1:], whole[:-1], [*whole, f"more{k}"], [f"edit{k}", *whole[1:]]]
+        rows += [(5 * k + i, " ".join(c)) for i, c in enumerate(copies)]
+    sizes, expected = brute_components(dict(rows))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == expected
+    assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes
+
+
 def test_near_duplicates_of_nothing(docs):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
     assert jaccard_join.jaccard_components(docs.where("text is null or text = ''")).where("doc_id <> component_id").count() == 0
