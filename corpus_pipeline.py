@@ -7,7 +7,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 * near_duplicates: of each group of documents linked by 5-word shingles at similarity 0.8 the one with the least id stays.
 * repeated_passages: bytes covered by a repeated string of 400 bytes are taken out of the texts; no document goes.
 * mixing: documents are laid out in the order of the Pfair schedule for the target shares; no document goes.
-* packing: documents are packed, in stored order, into sequences of at most 1024 tokens; one row for each piece.
+* packing: documents are packed, in the order of the schedule, into sequences of at most 1024 tokens; one row for each piece.  Reading a
+  table again doesn't keep the order of its files, so the schedule is made again from the rows.
 
 Null ids can't be judged as near duplicates and stay; null texts are empty.  Columns beyond those of ``documents`` are left out.
 """
@@ -57,7 +58,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ordered = mixed(docs.select("doc_id", "source", "text"), SHARES)
+    return pack(ordered, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -280,6 +280,25 @@ def test_pipeline(spark, sf_dir, tmp_path):
     assert len(C.STAGES) == 5
 
 
+def test_packing_follows_the_schedule(spark, sf_dir, tmp_path):
+    """The hot source is left over at the end, in files larger than those before: rereading brings them first."""
+    import corpus_pipeline as C
+
+    r = random.Random(3)
+    sources = ["src0"] * 1200 + ["src1"] * 120 + ["src5"] * 90
+    rows = [(i, "".join(map(chr, r.choices(range(97, 123), k=2000))) if s == "src0" else f"{s} {i} " * 200, "en", s, 2000) for i, s in enumerate(sources)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    slots = {x["doc_id"]: (x["_mix_slot"], x["_mix_source"], x["_mix_phase"]) for x in mixing.schedule(frame, C.SHARES).collect()}
+    C.mixing(spark, frame, sf_dir).write.parquet(str(tmp_path / "mixed"))
+    pieces = C.packing(spark, spark.read.parquet(str(tmp_path / "mixed")), sf_dir).where("start = 0").orderBy("sequence_id", "offset").collect()
+    order = [slots[x["doc_id"]] for x in pieces]
+    assert len(order) == len(rows) and [x[0] for x in order] == sorted(x[0] for x in order)
+    had, weights = Counter(), {s: C.SHARES[s] for s in ("src0", "src1", "src5")}
+    for t, (_, source) in enumerate(dict.fromkeys((slot, source) for slot, source, phase in order if phase == 0), 1):
+        had[source] += 1
+        assert all(abs(had[s] - a * t / sum(weights.values())) < 1 for s, a in weights.items())
+
+
 def test_pipeline_stages_take_odd_rows(spark, sf_dir):
     import corpus_pipeline as C
 
