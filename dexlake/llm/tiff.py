@@ -179,6 +179,8 @@ def _deflate(data: bytes) -> bytes:
 
 
 DECODERS = {PLAIN: lambda data, size: data[:size], PACKBITS: unpack_bits, LZW: unpack_lzw, DEFLATE: _inflate, OLD_DEFLATE: _inflate}
+#: Bytes that a decoder makes of one stored byte at most: 258 of two bits for deflate, the longest string of a full table a byte for LZW.
+MOST = {PLAIN: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032}
 ENCODERS = {PLAIN: bytes, PACKBITS: pack_bits, LZW: pack_lzw, DEFLATE: _deflate, OLD_DEFLATE: _deflate}
 
 
@@ -293,7 +295,9 @@ def _decode(data: bytes, d: _Directory, page: Page) -> None:
     if len(offsets) < planes * columns * lines:
         raise TiffError("strips or tiles are missing")
     kind = f"u{max(1, page.bits // 8)}"
-    if page.height * page.width * page.samples * np.dtype(kind).itemsize > max(1 << 16, 4096 * len(data)):
+    packed = planes * columns * (lines * down if page.layout == "tiles" else page.height) * -(-across * deep * page.bits // 8)
+    stored = sum(max(0, min(size, len(data) - at)) for at, size in zip(offsets[: planes * columns * lines], sizes, strict=False))
+    if packed > max(1 << 16, MOST[page.compression] * stored):
         raise TiffError("more samples than the file can hold")
     pixels = np.zeros((page.height, page.width, page.samples), kind)
     for k in range(planes * columns * lines):

@@ -165,6 +165,29 @@ def test_broken_tiffs_have_error_rows(spark):
     assert all(r["pixels"] == b"\1" * 16 for r in got if r["error"] is None)
 
 
+@pytest.mark.parametrize("tile", [None, (16, 16)])
+def test_blank_bilevel_scans_have_pixels(tile):
+    """A4 at 600 dpi (tiles: smaller), one bit a sample: 34.8 million samples in some 4 KB."""
+    import struct
+
+    height, stride = (64, 64) if tile else (7016, 620)
+    raw = tiff.write_tiff([{"pixels": np.zeros((height, stride), np.uint8), "compression": tiff.DEFLATE, "tile": tile}])
+
+    def field(tag, form, value):
+        return struct.pack("<HHI", tag, form, 1) + struct.pack("<I", value)
+
+    for tag, form, old, new in [(tiff.WIDTH, 4, stride, 8 * stride), (tiff.BITS, 3, 8, 1)] + ([(tiff.TILE_WIDTH, 4, 16, 128)] if tile else []):
+        assert raw.count(field(tag, form, old)) == 1
+        raw = raw.replace(field(tag, form, old), field(tag, form, new))
+    (page,) = tiff.pages_of(raw)
+    assert page.error is None and page.pixels.shape == (height, 8 * stride, 1) and not page.pixels.any()
+    if not tile:
+        for tag in (tiff.HEIGHT, tiff.ROWS_PER_STRIP):
+            raw = raw.replace(field(tag, 4, height), field(tag, 4, 100 * height))
+        (page,) = tiff.pages_of(raw)
+        assert page.error == "more samples than the file can hold"
+
+
 def test_an_endless_chain_of_directories_ends():
     raw = bytearray(tiff.write_tiff([{"pixels": np.ones((4, 4), np.uint8)}]))
     first = raw[4:8]
