@@ -127,14 +127,14 @@ def resources(artifacts: DataFrame) -> DataFrame:
 
 
 def find_resources(res: DataFrame, *, res_id: int | None = None, needle: str = "", limit: int = 100) -> DataFrame:
-    """Values by id (all configurations), else by key, else by value; ``matched`` says by which."""
+    """Values by id (all configurations), else by key, else by value; ``matched`` says by which.  The limit and the total are each artifact's."""
     if res_id is not None:
         matched = F.when(F.col("res_id") == res_id, "id")
     else:
         inside = F.coalesce(F.col("text").contains(needle), F.lit(False)) | F.exists("items", lambda x: x["text"].contains(needle))
         matched = F.when(F.col("key").contains(needle), "key").when(inside, "value")
     found = res.where("error is null").withColumn("matched", matched).where("matched is not null").withColumn("preview", F.slice("items", 1, 8))
-    return R.limit_with_total(found, limit, ["aid", "ord"])
+    return R.limit_with_total(found, limit, ["ord"], ["aid"])
 
 
 def resource_summary(res: DataFrame) -> DataFrame:
@@ -168,9 +168,10 @@ def hermes_strings(artifacts: DataFrame) -> DataFrame:
 
 
 def find_hermes(found: DataFrame, pattern: str = "", limit: int = 100_000) -> DataFrame:
+    """Strings with the pattern; the limit and the total are each artifact's."""
     hits = found.where("error is null")
     hits = hits.where(F.col("text").contains(pattern)) if pattern else hits
-    return R.limit_with_total(hits, min(limit, 100_000), ["aid", "bundle", "string_idx"]).withColumn("shown", S.mask_control(F.col("text")))
+    return R.limit_with_total(hits, limit, ["bundle", "string_idx"], ["aid"]).withColumn("shown", S.mask_control(F.col("text")))
 
 
 # native code -----------------------------------------------------------------------------------------------------------

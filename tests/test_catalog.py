@@ -114,6 +114,15 @@ def test_bundles_containers_extraction(spark, files, folder):
     assert rows(A.jar_coverage(files), "error")[0][0]
 
 
+def test_limits_are_each_artifacts(spark):
+    res = spark.sql("select aid, cast(i as int) as ord, i as res_id, 'key' as key, 'v' as text, cast(array() as array<struct<name:long,text:string>>) as items, cast(null as string) as error from values ('a'), ('b') as t(aid) lateral view explode(sequence(0L, 119L)) as i")
+    got = A.find_resources(res, needle="key").groupBy("aid", "total", "truncated").agg(F.count(F.lit(1)).alias("n"), F.max("ord").alias("last"))
+    assert rows(got, "aid", "total", "truncated", "n", "last") == [("a", 120, True, 100, 99), ("b", 120, True, 100, 99)]
+    many = spark.sql("select aid, '' as bundle, id as string_idx, 'text' as text, cast(null as string) as error from range(100005) cross join values ('a'), ('b') as t(aid)")
+    assert rows(A.find_hermes(many, "t").groupBy("aid", "truncated").count(), "aid", "truncated", "count") == [("a", True, 100_000), ("b", True, 100_000)]
+    assert A.find_hermes(many, "t", limit=200_000).where("not truncated").count() == 200_010
+
+
 def test_mapping(spark):
     text = ["a.B -> x:", "    int f -> a", "    1:2:void go(int) -> b", "junk", "    int lost -> c", "a.C -> y:", "    void go() -> b"]
     lines = spark.createDataFrame([("m", i, t) for i, t in enumerate(text)], "file string, line_no long, value string")
