@@ -1,303 +1,418 @@
 """Near duplicates by an n-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of its distinct w-word shingles, each a 64-bit hash; ascending hash is the order of all sets.  Two
-sets of similarity t share at least ``l`` of their first ``n - ceil(t n) + l`` shingles, for every l up to ``ceil(t n)``: the prefix may be lengthened
-if more common shingles are asked for.  Lengthening pays where a prefix holds frequent shingles:
-
-1. Documents with equal sets are one class; only the one with the least id goes on.
-2. Classes that share ``AGREE`` of ``STARS`` minhashes with the leader of their buckets are compared with it, never with each other.  In buckets of
-   more than ``LARGE`` members ``LEADERS`` others are drawn in each of some more turns, and compared with members of other groups.  Links found here join large
-   groups of near copies by a number of comparisons in proportion to their members.
-3. All documents deal out their plain prefixes (l = 1).  A shingle that only one group (of step 2) has makes no candidate; one that more
-   than ``FREQUENT`` groups have is frequent.  Two documents that share a rare shingle are counted: how many they share, and how many frequent
-   ones they may share besides.  The sum must reach what two similar sets have in common up to the end of the shorter prefix, or they aren't similar.
-4. Two documents that share only frequent shingles both have some.  Such documents lengthen their prefixes to the least l of which at most
-   l - 1 shingles are frequent: similar ones share l of the shorter, so a rare one among them.  They deal out their longer prefixes among
-   themselves; if new shingles are frequent there, those that have them go on with a larger l.
-5. A stored prefix has ``n - ceil(t n) + LONGEST n`` shingles.  Documents for which that isn't enough go through step 4 again with their whole sets; those of
-   which even nearly all shingles are frequent meet through the frequent shingles of their plain prefixes.  Nothing is capped or left out.
-6. Candidates are verified on their whole sets; links of steps 2 and 6 make the components.
-
-Defined results: words are cut and lower-cased as bytes (A-Z, ASCII white space); with fewer words than w the whole
-sequence is one shingle; a document without words (null, empty or white space only) has the empty set and no link.  Rows with the
-same id are one document each in the result and share their component with every row of that id's class.
+A document is the set of its distinct w-word shingles, each the 64-bit XXH3 hash of its bytes.  Documents with equal sets are one class, and all
+that follows is between classes.  In any one order of all shingles, two sets of similarity t share at least ``l`` of their first ``n - ceil(t n) + l``,
+for every l up to ``ceil(t n)``; the prefix may be lengthened if more shared shingles are asked for.
+
+1. All shingles are counted over all documents (blocks of 32-bit rests of their hashes, counted in the map tasks first).  Those in ``KNOWN`` or more
+   documents form a table of at most ``MOST_KNOWN`` entries; the least count is raised until it fits.  Sets are ordered by it: unlisted shingles first, then by count.
+2. Each document chooses its l by estimated cost: a candidate costs as much as its set is long, and the shared shingles that the lists of a prefix
+   let expect, by l, bound the candidates; a longer prefix costs its own entries and those of the lists it joins.
+3. Shingles that at most ``LONG`` documents have are dealt into blocks; two documents of similar size that meet in such a list are counted.  They are verified if
+   they meet in as many as the lesser l asks for, less what both may share in longer lists.
+4. Longer lists are never paired.  A similar pair that isn't met in step 3 shares a shingle of a longer list in the plain prefixes (l = 1).  In each
+   such list, by size, the document with most of these shingles is the *pivot*, and every other one is written as its symmetric difference from
+   the pivot.  With the difference's size m and f = m - n (1 - t) / (1 + t), x and y are similar exactly if their differences share (f(x) + f(y)) / 2 or
+   more.  Where that is none, both are linked by the member of least f.  The others are joined on the shortest prefixes of their differences that
+   their f allows for, rarest first: the further from the pivot, the more must be shared.
+5. Candidates are verified on their whole sets; links make the components.
+
+No list is cut off and no pair left out: ``KNOWN``, ``LONG`` and the estimate decide about work only.  If the table is full, ``LONG`` grows to its least count.
+
+Defined results: words are cut and lower-cased as bytes (A-Z, ASCII white space); with fewer words than w the whole sequence is one shingle; a document
+without words (null, empty or white space only) has the empty set and no link: its component is its own id.  Rows are told apart by their sets, so repeated rows and
+repeated ids are judged row by row; a row's component is the least id that its class reaches.  A row without an id shares its class's component (null
+if no row of the class has an id) and makes no links of its own.  ``similarity`` is taken exactly as its decimal digits say.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dexlake.llm.common import by_rows, cut
+from dexlake.llm.common import bounded_batches, by_rows, cut
 from dexlake.llm.components import components
 
-U = np.uint64
-STARS, AGREE, TURNS, LARGE, LEADERS, FREQUENT, LONGEST, ROUNDS = 6, 3, 4, 64, 8, 40, 0.1, 3
+KNOWN, LONG, MOST_KNOWN = 4, 32, 1_000_000
+#: Entries of a block, about, and blocks at most.
+BLOCK_ENTRIES, MOST_BLOCKS = 1 << 20, 1 << 16
+#: What is expected of a shingle that isn't in the table: so many other documents that have it.
+UNLISTED = 0.1
 FEW_IDS = 500_000  # ids, 8 bytes each, that may be broadcast; more are joined by shuffling
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], U)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << n.bit_length())
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                steps = np.full(size, base, U)
-                steps[0] = 1
-                _POWERS[name] = np.cumprod(steps)
-    return _POWERS["up"], _POWERS["down"]
+NODE_BYTES = 10
+ENTRY = np.dtype([("token", "<u8"), ("node", f"V{NODE_BYTES}"), ("n", "<u4"), ("need", "<u4"), ("hidden", "<u4")])
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """Distinct shingle hashes of a text, ascending (uint64)."""
     joined = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
     if not joined:
-        return np.empty(0, U)
-    codes = np.frombuffer(joined, np.uint8)
-    spaces = np.flatnonzero(codes == 32)
+        return np.empty(0, np.uint64)
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts = np.concatenate([[0], spaces + 1])
-    ends = np.append(spaces, len(codes))
+    ends = np.append(spaces, len(joined))
     k = min(width, len(starts)) - 1
-    up, down = _powers(len(codes))
-    with np.errstate(over="ignore"):
-        sums = np.empty(len(codes) + 1, U)
-        sums[0] = 0
-        np.cumsum((codes.astype(U) + U(1)) * up[: len(codes)], out=sums[1:])
-        first, last = starts[: len(starts) - k], ends[k:]
-        h = (sums[last] - sums[first]) * down[first]
-        h += (last - first).astype(U)
-        h ^= h >> U(33)
-        h *= U(0xFF51AFD7ED558CCD)
-        h ^= h >> U(33)
-        h *= U(0xC4CEB9FE1A85EC53)
-        h ^= h >> U(33)
-    return np.unique(h)
+    starts, ends = starts[: len(starts) - k].tolist(), ends[k:].tolist()
+    hashed = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((hashed(joined[a:b]) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
 
 
-def prefix_length(n: int, similarity: float, matches: int = 1) -> int:
-    """Shingles of a set of n among which a similar set has ``matches`` in common."""
-    return max(0, min(n, n - math.ceil(similarity * n - 1e-9) + matches))
+def node_of(tokens: np.ndarray) -> bytes:
+    """The name of a class: 80 bits of a digest of its whole set."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=NODE_BYTES).digest()
 
 
-def longest_prefix(n: int, similarity: float, longest: float = LONGEST) -> int:
-    return prefix_length(n, similarity, int(longest * n) + 1)
+def ratio(similarity: float) -> tuple[int, int]:
+    """A similarity above 0 and up to 1 as the fraction that its decimal digits say."""
+    found = Fraction(str(similarity))
+    if not 0 < found <= 1:
+        raise ValueError("a similarity is above 0 and at most 1")
+    return found.numerator, found.denominator
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    flat = np.concatenate(values).view(np.int64) if values else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+def prefix_length(n: int, similarity: float, matches: int = 1) -> int:
+    """Shingles of a set of n among which a similar set has ``matches`` in common."""
+    a, b = ratio(similarity)
+    return max(0, min(n, n - -(-a * n // b) + matches))
+
+
+class Known:
+    """How many documents have the shingles of the table; the order of all sets."""
+
+    def __init__(self, shift: int, keys: np.ndarray, counts: np.ndarray, long: int):
+        self.shift, self.keys, self.counts, self.long = shift, keys, counts, long
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """The count of each shingle, 0 if it isn't in the table."""
+        if not len(self.keys):
+            return np.zeros(len(tokens), np.int64)
+        keys = tokens >> np.uint64(self.shift)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0)
+
+    def ordered(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A set in the common order, with its counts."""
+        counts = self.of(tokens)
+        order = np.argsort(counts, kind="stable")
+        return tokens[order], counts[order]
+
+
+def matches_asked(counts: np.ndarray, a: int, b: int) -> int:
+    """The l of the least estimated cost, for a set whose ``counts`` are in order."""
+    n = len(counts)
+    overlap = -(-a * n // b)
+    most = max(1, min(overlap, 1 + n // 10))
+    expected = np.cumsum(np.where(counts > 0, counts - 1.0, UNLISTED))
+    l = np.arange(1, most + 1)
+    met = expected[n - overlap + l - 1]
+    return int(l[np.argmin((10 + n / 8) * met / l + met + 3.0 * l)])
+
+
+def _by_block(blocks: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Values, sorted by ascending ``blocks``, of each block."""
+    edges = np.flatnonzero(np.diff(blocks)) + 1
+    for block, part in zip(blocks[np.concatenate([[0], edges])].tolist(), np.split(values, edges), strict=True):
+        yield block, part
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(block, its rows) of batches that are sorted by their first column."""
+    current, held = None, []
+    for batch in batches:
+        for block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block != current:
+                if held:
+                    yield current, held
+                current, held = block, []
+            held.append(row)
+    if held:
+        yield current, held
+
+
+def _signed(docs: DataFrame, width: int) -> DataFrame:
+    """(id, n_shingles, node) of every row; node is null for the empty set."""
+    id_type = docs.schema["id"].dataType.simpleString()
 
+    def made(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+        return {"id": batch.column(0), "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets]}
+
+    return by_rows(docs, made, f"id {id_type}, n_shingles long, node binary")
+
+
+def _blocks_for(entries: int) -> int:
+    """Bits of a shingle's hash that name its block."""
+    return max(0, min(MOST_BLOCKS, entries // BLOCK_ENTRIES).bit_length())
+
+
+def known_counts(docs: DataFrame, total: int, width: int, least: int = KNOWN, most: int = MOST_KNOWN, long: int = LONG) -> Known:
+    """The table of shingles in ``least`` or more documents, from all shingles of all documents (id, text); ``total`` is how many there are."""
+    bits = _blocks_for(total)
+    shift = 32 - bits  # bits of a hash that don't count here
+    mask = np.uint64(0xFFFFFFFF)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            rows = []
+            for often in (False, True):
+                own = (n > 1) == often
+                if own.any():
+                    packed = np.stack([(keys[own] & mask).astype("<u4"), n[own].astype("<u4")], axis=1) if often else (keys[own] & mask).astype("<u4")
+                    rows += [(block, often, part.tobytes()) for block, part in _by_block((keys[own] >> np.uint64(32)).astype(np.int64), packed)]
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary())], names=["block", "often", "packed"])
+
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                if len(s := shingle_set(text, width)):
+                    held.append(s >> np.uint64(shift))
+                    size += len(s)
+                    if size >= 1 << 22:
+                        yield flush()
+                        held, size = [], 0
+        if held:
+            yield flush()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _grouped(batches):
+            rests, counts = [], []
+            for often, packed in rows:
+                part = np.frombuffer(packed, "<u4")
+                rests.append(part[::2] if often else part)
+                counts.append(part[1::2] if often else np.ones(len(part), "<u4"))
+            rest, n = np.concatenate(rests), np.concatenate(counts).astype(np.int64)
+            order = np.argsort(rest, kind="stable")
+            rest, n = rest[order], n[order]
+            first = np.concatenate([[0], np.flatnonzero(np.diff(rest)) + 1])
+            sums = np.add.reduceat(n, first)
+            many = sums >= least
+            if many.any():
+                keys = (np.uint64(block) << np.uint64(32)) | rest[first][many].astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums[many])], names=["key", "n"])
+
+    packed = docs.mapInArrow(counted, "block int, often boolean, packed binary")
+    found = cut(packed.repartition("block").sortWithinPartitions("block").mapInArrow(summed, "key long, n long"), "known")
+    by_count = sorted(((r[0], r[1]) for r in found.groupBy(F.least("n", F.lit(1 << 12)).alias("n")).count().collect()), reverse=True)
+    kept, held = by_count[0][0] + 1 if by_count else least, 0
+    for n, rows in by_count:  # as low a least count as the table has room for
+        if held + rows > most:
+            break
+        kept, held = n, held + rows
+    table = found.where(F.col("n") >= kept).toArrow()
+    keys, counts = (c.to_numpy() for c in table.columns)
+    order = np.argsort(keys, kind="stable")
+    return Known(shift, keys[order].view(np.uint64), counts[order], max(long, kept - 1))
+
+
+def _met(docs: DataFrame, known: Broadcast, total: int, width: int, a: int, b: int) -> DataFrame:
+    """(x, y) of classes that meet in as many short lists as they must to be similar."""
+    bits = _blocks_for(total // 4)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen, held, size = known.value, set(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            entries = np.concatenate(held)
+            blocks = (entries["token"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(entries), np.int64)
+            order = np.argsort(blocks, kind="stable")
+            rows = [(block, part.tobytes()) for block, part in _by_block(blocks[order], entries[order])]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "packed"])
+
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                tokens = shingle_set(text, width)
+                n = len(tokens)
+                if not n or (node := node_of(tokens)) in seen:
+                    continue
+                seen.add(node)
+                tokens, counts = table.ordered(tokens)
+                l = matches_asked(counts, a, b)
+                reach = n - -(-a * n // b) + l
+                short = counts[:reach] <= table.long
+                own = np.empty(int(short.sum()), ENTRY)
+                own["token"], own["node"], own["n"], own["need"], own["hidden"] = tokens[:reach][short], np.void(node), n, l, reach - len(own)
+                held.append(own)
+                size += len(own)
+                if size >= 1 << 20:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches):
+            entries = np.concatenate([np.frombuffer(r[0], ENTRY) for r in rows])
+            entries = entries[np.argsort(entries["token"], kind="stable")]
+            token = entries["token"]
+            same = np.concatenate([[False], token[1:] == token[:-1], [False]])
+            entries = entries[same[1:] | same[:-1]]
+            xs, ys, shift = [], [], 0
+            while True:  # lists are short, so few shifts have equal tokens
+                shift += 1
+                i = np.flatnonzero(entries["token"][shift:] == entries["token"][:-shift])
+                if not len(i):
+                    break
+                x, y = entries[i], entries[i + shift]
+                near = b * np.minimum(x["n"], y["n"]).astype(np.int64) >= a * np.maximum(x["n"], y["n"]).astype(np.int64)
+                xs.append(x[near])
+                ys.append(y[near])
+            if xs and sum(map(len, xs)):
+                x, y = np.concatenate(xs), np.concatenate(ys)
+                lack = np.minimum(x["need"], y["need"]).astype(np.int64) - np.minimum(x["hidden"], y["hidden"]).astype(np.int64)
+                for at in range(0, len(x), 1 << 16):
+                    u, v = (pa.FixedSizeBinaryArray.from_buffers(pa.binary(NODE_BYTES), len(z), [None, pa.py_buffer(z.tobytes())]).cast(pa.binary()) for z in (x["node"][at : at + (1 << 16)], y["node"][at : at + (1 << 16)]))
+                    yield pa.RecordBatch.from_arrays([u, v, pa.array(lack[at : at + (1 << 16)])], names=["x", "y", "lack"])
+
+    packed = docs.mapInArrow(dealt, "block int, packed binary")
+    rows = packed.repartition("block").sortWithinPartitions("block").mapInArrow(paired, "x binary, y binary, lack long").where("x <> y")
+    met = rows.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.count(F.lit(1)).alias("met"), F.first("lack").alias("lack"))
+    return met.where("met >= lack").select("u", "v")
+
+
+def _members(docs: DataFrame, known: Broadcast, width: int, a: int, b: int) -> DataFrame:
+    """(pivot, node): for each long list of the plain prefixes and each size, all documents with the one that has most such shingles."""
+    step = math.log(b / a) if a < b else 1.0
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = known.value, set()
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                tokens = shingle_set(text, width)
+                n = len(tokens)
+                if not n or (node := node_of(tokens)) in seen:
+                    continue
+                seen.add(node)
+                tokens, counts = table.ordered(tokens)
+                reach = n - -(-a * n // b) + 1
+                long = tokens[:reach][counts[:reach] > table.long]
+                if len(long):
+                    # similar sizes are in one range or in neighbouring ones; each document goes to its own range and the next
+                    size = int(math.log(n) / step + 1e-9) if a < b else n
+                    rows += [(t, s, node, len(long)) for t in long.view(np.int64).tolist() for s in (size, size + 1)]
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names=["token", "size", "node", "long"])
+
+    lists = cut(docs.mapInArrow(dealt, "token long, size int, node binary, long int").distinct(), "lists")
+    pivots = lists.groupBy("token", "size").agg(F.max(F.struct("long", "node"))["node"].alias("pivot"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return lists.join(pivots, ["token", "size"]).select("pivot", "node").distinct()
+
+
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, tokens) of the classes in ``nodes``: whole sets, made again from the texts; 8 bytes a shingle, ascending."""
+    ids = cut(classes.join(nodes, "node", "left_semi").select("id"), "ids")
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    wanted = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
 
-def signatures(df: DataFrame, *, id_col: str, text_col: str, width: int, similarity: float, longest: float = LONGEST) -> DataFrame:
-    """(id, n_shingles, class_hash, minhashes, prefix) of every row; class_hash is null for the empty set."""
-    id_type = df.schema[id_col].dataType.simpleString()
+    def made(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
+        return {"node": [node_of(s) for s in sets], "tokens": [s.tobytes() for s in sets]}
 
-    def signed(batch: pa.RecordBatch) -> dict:
-        sizes, classes, least, prefixes = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            s = shingle_set(text, width)
-            sizes.append(len(s))
-            classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            with np.errstate(over="ignore"):
-                least.append(np.array([(s * o).min() for o in _ODD[:STARS]], U) if len(s) else s)
-            prefixes.append(s[: longest_prefix(len(s), similarity, longest)])
-        return {"id": batch.column(0), "n_shingles": sizes, "class_hash": classes, "minhashes": _lists(least), "prefix": _lists(prefixes)}
+    return cut(by_rows(wanted, made, "node binary, tokens binary").dropDuplicates(["node"]), "sets")
 
-    return by_rows(df.select(id_col, text_col), signed, f"id {id_type}, n_shingles long, class_hash binary, minhashes array<long>, prefix array<long>")
 
+def _compared(pairs: DataFrame, sets: DataFrame, made: Callable[[bytes, bytes, np.ndarray, np.ndarray], tuple | None], schema: str) -> DataFrame:
+    """What ``made`` says of each of ``pairs`` (u, v) and its whole sets; rows of None are left out."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-def _sets(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, tokens) of the documents in ``ids``: whole sets, made again from the texts."""
-    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
-    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    id_type = wanted.schema["id"].dataType.simpleString()
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("b")), "v")
 
-    def made(batch: pa.RecordBatch) -> dict:
-        return {"id": batch.column(0), "tokens": _lists([shingle_set(t, width) for t in batch.column(1).to_pylist()])}
-
-    return by_rows(wanted, made, f"id {id_type}, tokens array<long>")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose ``sets`` (id, tokens) are similar enough."""
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("b")), "v")
-    shared, na, nb = F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b")
-    percent = round(similarity * 100)
-    return both.where(100 * shared >= percent * (na + nb - shared)).select("u", "v").distinct()
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, **kw) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose documents are similar enough."""
-    ids = cut(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "ids")
-    return _similar(pairs, _sets(docs, ids, **kw), similarity)
-
-
-def _led(keyed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (u, v) of members of different groups with their buckets' leaders of a turn, where they share enough buckets."""
-    draws = range(LEADERS) if turn else range(1)
-    drawn = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(turn * LEADERS + k)).alias("h"), "id", "n", "grp")) for k in draws]))
-    leaders = keyed.groupBy("j", "key").agg(F.count(F.lit(1)).alias("members"), drawn.alias("leads")).where(F.col("members") > (LARGE if turn else 1))
-    leaders = leaders.select("j", "key", F.explode("leads").alias("lead"))
-    met = keyed.join(leaders, ["j", "key"]).where((F.col("grp") != F.col("lead.grp")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
-    return met.select(*_ordered(F.col("id"), F.col("lead.id")), "j").distinct().groupBy("u", "v").count().where(F.col("count") >= AGREE).select("u", "v")
-
-
-def _stars(docs: DataFrame, keyed: DataFrame, similarity: float, **kw) -> tuple[DataFrame, DataFrame]:
-    """(pairs that were compared, (id, grp) of what their links join); ``keyed`` has id, n, j and key."""
-    percent = round(similarity * 100)
-    pairs = cut(_led(keyed.withColumn("grp", F.col("id")), 0, percent), "stars")
-    near = cut(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "near")
-    sets = cut(_sets(docs, near, **kw), "sets")
-    keyed = cut(keyed.join(near, "id", "left_semi"), "keyed")
-    tried, edges = pairs, None
-    for turn in range(1, TURNS + 1):
-        links = _similar(pairs, sets, similarity)
-        joined = components(links if edges is None else links.unionByName(edges))
-        group = cut(near.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("grp")), "group")
-        edges = group.where("id <> grp").select(F.col("id").alias("u"), F.col("grp").alias("v"))
-        if turn == TURNS:
-            break
-        pairs = cut(_led(keyed.join(group, "id"), turn, percent).join(tried, ["u", "v"], "left_anti"), "stars")
-        if pairs.isEmpty():
-            break
-        tried = tried.unionByName(pairs)
-    return tried, group
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for u, v, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (row := made(u, v, np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))) is not None:
+                    rows.append(row)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
+    return both.select("u", "v", "a", "b").mapInArrow(run, schema)
 
-def _enough(n: F.Column, share: float) -> F.Column:
-    """ceil(share n), exactly for shares of whole percents."""
-    percent = round(share * 100)
-    return F.floor((n * percent + 99) / 100)
 
+def _links(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sets are similar enough."""
 
-def _ordered(x: F.Column, y: F.Column) -> tuple[F.Column, F.Column]:
-    return F.greatest(x, y).alias("u"), F.least(x, y).alias("v")
+    def linked(u: bytes, v: bytes, x: np.ndarray, y: np.ndarray) -> tuple | None:
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return (u, v) if b * shared >= a * (len(x) + len(y) - shared) else None
 
+    return _compared(pairs, sets, linked, "u binary, v binary")
 
-def _shared_tokens(emitted: DataFrame) -> DataFrame:
-    """Rows (token, id, grp) of tokens that several groups have, with the number of rows of each token; one shuffle."""
-    own = Window.partitionBy("token")
-    counted = emitted.withColumn("a", F.min("grp").over(own)).withColumn("b", F.max("grp").over(own)).withColumn("rows", F.count(F.lit(1)).over(own))
-    return cut(counted.where("a <> b").drop("a", "b"), "shared")
 
+def _around_pivots(members: DataFrame, sets: DataFrame, a: int, b: int) -> tuple[DataFrame, DataFrame]:
+    """(links that are certain, candidates) among the members (pivot, node) of each pivot; see step 4 of the module."""
+    whole = a + b
 
-def _frequent(lists: DataFrame) -> DataFrame:
-    """Tokens that more than FREQUENT groups have."""
-    return cut(lists.where(F.col("rows") > FREQUENT).select("token", "grp").distinct().groupBy("token").count().where(F.col("count") > FREQUENT).select("token"), "frequent")
+    def apart(pivot: bytes, node: bytes, x: np.ndarray, y: np.ndarray) -> tuple:
+        other = np.setxor1d(x, y, assume_unique=True)
+        return pivot, node, len(other), whole * len(other) - (b - a) * len(y), other.view(np.int64)
 
+    apart_ = cut(_compared(members.select(F.col("pivot").alias("u"), F.col("node").alias("v")), sets, apart, "pivot binary, node binary, m long, f long, tokens array<long>"), "apart")
+    best = apart_.groupBy("pivot").agg(F.min(F.struct("f", "node")).alias("best"), F.max("f").alias("most"))
+    # f is kept as a whole number, (a + b) times what the module's text says
+    placed = apart_.join(best.select("pivot", F.col("best.f").alias("least"), F.col("best.node").alias("centre"), "most"), "pivot").withColumn("outside", F.col("f") + F.col("least") > 0)
+    certain = placed.where("not outside and node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))
 
-def _candidates(lists: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of different groups that meet in ``lists`` and may be similar.
+    asked = F.when(F.col("outside"), F.greatest(F.lit(1), F.ceil((F.col("f") + F.col("least")) / (2 * whole)))).otherwise(F.floor((F.col("f") - F.col("least")) / (2 * whole)) + 1)
+    open_ = placed.where("most + least > 0").withColumn("dealt", F.col("m") - asked + 1).where("dealt > 0")  # in a group without an outsider all is certain
+    tokens = open_.select("pivot", "node", F.explode("tokens").alias("token"))
+    often = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("n"))
+    ordered = tokens.join(often, ["pivot", "token"]).groupBy("pivot", "node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("places"))
+    rows = ordered.join(open_.select("pivot", "node", "m", "f", "outside", "dealt"), ["pivot", "node"])
+    rows = rows.select("pivot", "node", "m", "f", "outside", F.posexplode(F.slice("places", F.lit(1), F.col("dealt").cast("int"))).alias("i", "at"))
+    rows = cut(rows.where("at.n > 1").select("pivot", F.col("at.token").alias("token"), "node", "f", "outside", (F.col("m") - F.col("i")).alias("left")), "differences")
+    x, y = (rows.select("pivot", "token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "f", "outside", "left")]) for side in "xy")
+    met = x.join(y, ["pivot", "token"]).where(
+        (F.col("outside_x") & ((F.col("node_x") < F.col("node_y")) | ~F.col("outside_y") & (F.col("node_x") != F.col("node_y"))))
+        & (2 * whole * F.least("left_x", "left_y") >= F.col("f_x") + F.col("f_y"))
+    )
+    return certain, met.select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct()
 
-    ``facts`` has for each id its size n, how many shingles it dealt out (reach), the last of these (end), and how many of them are in no list
-    (hidden).  Up to the lesser of two ends both dealt out all they have; similar sets have at least overlap - (n - reach) in common there, n and reach
-    those of the set that ends first.  They meet in what isn't hidden, so that many less what both may hide.
-    """
-    rows = lists.join(facts.select("id", "n"), "id")
-    x = rows.select("token", F.col("id").alias("x"), F.col("grp").alias("gx"), F.col("n").alias("nx"))
-    y = rows.select("token", F.col("id").alias("y"), F.col("grp").alias("gy"), F.col("n").alias("ny"))
-    met = x.join(y, "token").where((F.col("x") > F.col("y")) & (F.col("gx") != F.col("gy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
-    met = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("met"))
-    for side in "xy":
-        met = met.join(facts.select(F.col("id").alias(side), *[F.col(c).alias(c + side) for c in ("n", "reach", "end", "hidden")]), side)
-    overlap = F.floor((percent * (F.col("nx") + F.col("ny")) + 99 + percent) / (100 + percent))
-    ends = [F.col(c).bitwiseXOR(F.lit(-1 << 63)) for c in ("endx", "endy")]  # in the order of the sets, which is unsigned
-    left = F.when(ends[0] <= ends[1], F.col("nx") - F.col("reachx")).otherwise(F.col("ny") - F.col("reachy"))
-    return met.where(F.col("met") + F.least("hiddenx", "hiddeny") >= overlap - left).select(*_ordered(F.col("x"), F.col("y")))
 
+def _nodes(*pairs: DataFrame) -> DataFrame:
+    found = None
+    for p in pairs:
+        for c in p.columns:
+            one = p.select(F.col(c).alias("node"))
+            found = one if found is None else found.unionByName(one)
+    return found.distinct()
 
-def _lengthened(sized: DataFrame, few: DataFrame, every: DataFrame, similarity: float, longest: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Candidates among the documents ``few`` (id) through rare shingles of prefixes that are long enough; those for which none is; all frequent tokens.
 
-    ``sized`` has id, grp, n_shingles and a prefix long enough for ``longest`` times n_shingles matches; ``every`` has the frequent tokens known so far.
-    """
-    percent, n = round(similarity * 100), F.col("n_shingles")
-    plain = n - _enough(n, similarity) + 1
-    most = F.floor(F.lit(longest * similarity) * n) + 1  # what the prefix of every similar document allows for
-    stubborn, pairs = few.limit(0), None
-    for _ in range(ROUNDS):
-        if few.isEmpty():
-            break
-        state = sized.join(few, "id", "left_semi")
-        placed = state.select("id", F.posexplode("prefix").alias("place", "token")).join(every, "token", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("places"))
-        state = state.join(placed, "id", "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
-        # l fits if the l-th frequent shingle stands behind the prefix of l
-        fits = F.filter(F.sequence(F.lit(1).cast("long"), most), lambda k: (F.size("places") < k) | (F.try_element_at("places", k.cast("int")) >= plain - 1 + k))
-        reach = F.when(F.size(fits) == 0, F.size("prefix")).otherwise(plain - 1 + F.try_element_at(fits, F.lit(1)))
-        reach = F.greatest(F.least(reach, F.size("prefix")), F.lit(1)).cast("int")
-        state = cut(state.select("id", "grp", "n_shingles", "prefix", reach.alias("reach"), F.size(F.filter("places", lambda k: k < reach)).alias("hidden"), (F.size(fits) == 0).alias("stubborn")), "state")
-        dealt = state.select("id", "grp", F.explode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("token")).join(every, "token", "left_anti")
-        lists = _shared_tokens(dealt)
-        new = _frequent(lists)
-        also = lists.join(new, "token", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("also"))
-        facts = state.join(also, "id", "left").select("id", n.alias("n"), "reach", F.element_at("prefix", F.col("reach")).alias("end"), (F.col("hidden") + F.coalesce("also", F.lit(0))).alias("hidden"))
-        found = cut(_candidates(lists.join(new, "token", "left_anti"), cut(facts, "facts"), percent), "found")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        every = cut(every.unionByName(new), "every")
-        few = cut(lists.join(new, "token", "left_semi").select("id").distinct(), "few")
-        stubborn = stubborn.unionByName(state.where("stubborn").select("id"))
-    stubborn = cut(stubborn.unionByName(few).distinct(), "stubborn")
-    if pairs is None:
-        pairs = stubborn.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
-    return pairs, stubborn, every
-
-
-def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, longest: float = LONGEST) -> DataFrame:
+def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, known: int = KNOWN, long: int = LONG, most_known: int = MOST_KNOWN) -> DataFrame:
     """(id_col, n_shingles, component_id): one row per input row; see the module for what is done."""
-    kw = {"id_col": id_col, "text_col": text_col, "width": width}
-    percent = round(similarity * 100)
-    signed = cut(signatures(df, similarity=similarity, longest=longest, **kw), "signatures")
-    classes = cut(signed.where("class_hash is not null and id is not null").groupBy("class_hash").agg(F.min("id").alias("id")), "classes")
-    reps = classes.select("id")
-    n = F.col("n_shingles")
-
-    # 2: every member of a bucket is compared with the bucket's leader
-    keyed = signed.select("id", n.alias("n"), "minhashes").join(reps, "id", "left_semi").select("id", "n", F.posexplode("minhashes").alias("j", "key"))
-    stars, joined = _stars(df, keyed, similarity, **kw)
-    group = cut(reps.join(joined, "id", "left").select("id", F.coalesce("grp", "id").alias("grp")), "group")
-
-    # 3: plain prefixes
-    plain = n - _enough(n, similarity) + 1
-    sized = signed.select("id", "n_shingles", "prefix").join(group, "id")
-    lists = _shared_tokens(sized.select("id", "grp", F.explode(F.slice("prefix", 1, plain.cast("int"))).alias("token")))
-    frequent = _frequent(lists)
-    rare = lists.join(frequent, "token", "left_anti")
-    held = lists.join(frequent, "token", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("frequent"))
-    held = cut(held, "held")
-    dealt = sized.select("id", n.alias("n"), plain.alias("reach"), F.element_at("prefix", plain.cast("int")).alias("end"))
-    dealt = dealt.join(rare.select("id").distinct(), "id", "left_semi").join(held.withColumnRenamed("frequent", "hidden"), "id", "left").fillna(0, ["hidden"])
-    pairs = cut(_candidates(rare, cut(dealt, "facts"), percent), "found")
-
-    # 4: documents with frequent shingles, among themselves, with longer prefixes
-    found, stubborn, every = _lengthened(sized, held.select("id"), frequent, similarity, longest)
-    pairs = pairs.unionByName(found)
-    if not stubborn.isEmpty():
-        whole = _sets(df, stubborn, **kw).join(group, "id").select("id", F.size("tokens").cast("long").alias("n_shingles"), F.col("tokens").alias("prefix"), "grp")
-        found, stubborn, every = _lengthened(cut(whole.dropDuplicates(["id"]), "whole"), stubborn, every, similarity, similarity)
-        pairs = pairs.unionByName(found)
-
-    # 5: documents of which no prefix is rare enough meet through frequent shingles
-    if not stubborn.isEmpty():
-        stubborn = sized.join(stubborn, "id", "left_semi")
-        lists = _shared_tokens(stubborn.select("id", "grp", F.explode(F.slice("prefix", 1, plain.cast("int"))).alias("token")).join(every, "token", "left_semi"))
-        # with a rare shingle in common they are candidates of step 3 already; else they meet here in all they share
-        facts = stubborn.select("id", n.alias("n"), plain.alias("reach"), F.element_at("prefix", plain.cast("int")).alias("end"), F.lit(0).alias("hidden"))
-        pairs = pairs.unionByName(cut(_candidates(lists, cut(facts, "facts"), percent), "found"))
-
-    pairs = cut(pairs.distinct().join(stars, ["u", "v"], "left_anti"), "pairs")
-    more = _verified(df, pairs, similarity, **kw)
-    across = more.join(group.select(F.col("id").alias("u"), F.col("grp").alias("gu")), "u").join(group.select(F.col("id").alias("v"), F.col("grp").alias("gv")), "v").select(F.col("gu").alias("u"), F.col("gv").alias("v"))
-    merged = components(across).select(F.col("id").alias("grp"), "component")
-    final = group.join(merged, "grp", "left").select("id", F.coalesce("component", "grp").alias("component"))
-    known = classes.join(final, "id").select("class_hash", "component")
-    return signed.select("id", "n_shingles", "class_hash").join(known, "class_hash", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    spark = df.sparkSession
+    bounded_batches(spark)
+    a, b = ratio(similarity)
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    signed = cut(_signed(docs, width), "signed")
+    total = signed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    classes = cut(signed.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id")), "classes")
+    table = spark.sparkContext.broadcast(known_counts(docs, total, width, known, most_known, long))  # 16 bytes an entry, most_known at most
+
+    pairs = cut(_met(docs, table, total, width, a, b), "pairs")
+    members = cut(_members(docs, table, width, a, b), "members")
+    sets = _sets(docs, classes, _nodes(pairs, members), width)
+    certain, more = _around_pivots(members, sets, a, b)
+    pairs = pairs.unionByName(more.join(pairs, ["u", "v"], "left_anti"))
+    links = _links(pairs, sets, a, b).unionByName(certain)
+
+    ids = links.join(classes.select(F.col("node").alias("u"), F.col("id").alias("x")), "u").join(classes.select(F.col("node").alias("v"), F.col("id").alias("y")), "v")
+    joined = components(ids.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    found = classes.join(joined, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
+    done = signed.join(found, "node", "left")
+    return done.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))

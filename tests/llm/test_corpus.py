@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -148,10 +150,16 @@ def test_components(spark, case):
     assert got == union(pairs, nodes)
 
 
-def brute_components(texts, similarity=80):
-    sets = {i: frozenset(jaccard_join.shingle_set(t).tolist()) for i, t in texts.items()}
+def shingles(text, width=5):
+    """Shingles as tuples of words: nothing is hashed."""
+    found = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(found[i : i + width]) for i in range(max(1, len(found) - width + 1))) if found else frozenset()
+
+
+def brute_components(texts, similarity="0.8"):
+    sets, least = {i: shingles(t) for i, t in texts.items()}, Fraction(similarity)
     ids = sorted(sets)
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
     return {i: len(s) for i, s in sets.items()}, union(links, ids)
 
 
@@ -164,33 +172,58 @@ def test_shingles_are_sets_of_words():
     assert len(jaccard_join.shingle_set(words(300, 8))) == len(plain)
 
 
-@pytest.mark.parametrize(("frequent", "agree", "longest", "large"), [(40, 3, 0.1, 64), (1, 9, 0.02, 64), (2, 9, 0.3, 64), (1, 1, 0.1, 1)])
-def test_near_duplicates_equal_brute_force(docs, monkeypatch, frequent, agree, longest, large):
-    """With few groups allowed for each shingle and without stars the adaptive and the stubborn ways have to find all links."""
-    for name, value in (("FREQUENT", frequent), ("AGREE", agree), ("LARGE", large)):
-        monkeypatch.setattr(jaccard_join, name, value)
+def near_copies(seed, n, copies):
+    """A text and copies with ever more words changed: most copies aren't similar to most others."""
+    r = random.Random(seed)
+    base = words(n, seed).split()
+    rows = [" ".join(base)]
+    for k in range(copies):
+        changed = [*base]
+        for _ in range(1 + k % 5):
+            changed[r.randrange(n)] = f"edit{seed}x{r.randrange(40)}"
+        rows.append(" ".join(changed))
+    return rows
+
+
+@pytest.mark.parametrize(("known", "long", "most"), [(4, 32, 10**6), (2, 1, 10**6), (2, 3, 10**6), (4, 8, 10**6), (2, 8, 50), (2, 2, 0)])
+def test_near_duplicates_equal_brute_force(spark, docs, known, long, most):
+    """Whatever counts as known or long, and however small the table is, all links are found."""
+    clusters = [*near_copies(41, 70, 60), *near_copies(42, 40, 60), *near_copies(43, 25, 40), *near_copies(44, 300, 20)]
+    passage = words(30, 45)
+    clusters += [f"{words(8, 300 + k)} {passage}" for k in range(30)]
+    more = spark.createDataFrame([(1000 + k, t) for k, t in enumerate(clusters)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(more)
     sizes, expected = brute_components(texts_of(docs))
-    got = jaccard_join.jaccard_components(docs, longest=longest).collect()
+    got = jaccard_join.jaccard_components(docs, known=known, long=long, most_known=most).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == expected
     assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes
 
 
-@pytest.mark.parametrize("frequent", [40, 1])
-def test_near_copies_of_few_words_are_all_linked(spark, monkeypatch, frequent):
-    """Prefixes of one or two shingles, whose ends lie on both sides of 2**63, and no links but those of the count filter."""
-    for name, value in (("FREQUENT", frequent), ("AGREE", 9)):
-        monkeypatch.setattr(jaccard_join, name, value)
+@pytest.mark.parametrize(("known", "long", "similarity"), [(4, 32, 0.8), (2, 1, 0.8), (2, 2, 0.805), (4, 32, 0.5), (2, 1, 1.0)])
+def test_near_copies_of_few_words_are_all_linked(spark, known, long, similarity):
     r, rows = random.Random(5), []
-    for k in range(300):
+    for k in range(150):
         whole = words(r.randint(6, 30), 1000 + k).split()
-        copies = [whole, whole[1:], whole[:-1], [*whole, f"more{k}"], [f"edit{k}", *whole[1:]]]
-        rows += [(5 * k + i, " ".join(c)) for i, c in enumerate(copies)]
-    sizes, expected = brute_components(dict(rows))
-    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        copies = [whole, whole[1:], whole[:-1], [*whole, f"more{k}"], [f"edit{k}", *whole[1:]], whole]
+        rows += [(6 * k + i, " ".join(c)) for i, c in enumerate(copies)]
+    sizes, expected = brute_components(dict(rows), str(similarity))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), known=known, long=long, similarity=similarity).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == expected
     assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes
 
 
+def test_near_duplicates_tell_rows_apart(spark):
+    """Repeated ids, null ids, long texts, and words that polynomials modulo a power of two can't tell apart."""
+    morse = "a"
+    while len(morse) < 1024:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    long = words(30_000, 50)
+    rows = [(1, morse), (2, morse.translate(str.maketrans("ab", "ba"))), (3, words(50, 51)), (3, words(50, 52)), (4, words(50, 51)), (5, words(50, 52)), (None, words(50, 51)), (None, words(50, 53)), (6, long), (7, long + " end"), (8, None), (8, None)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got if r["component_id"] is not None) == [(0, 46, 3), (1, 1, 1), (2, 1, 2), (3, 46, 3), (3, 46, 3), (4, 46, 3), (5, 46, 3), (6, 29996, 6), (7, 29997, 6), (8, 0, 8), (8, 0, 8)]
+    assert [r["n_shingles"] for r in got if r["component_id"] is None] == [46]
+
+
 def test_near_duplicates_of_nothing(docs):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
     assert jaccard_join.jaccard_components(docs.where("text is null or text = ''")).where("doc_id <> component_id").count() == 0
