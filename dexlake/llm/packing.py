@@ -16,6 +16,7 @@ partition's number times 2**32 plus the sequence's number in it.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import deque
@@ -38,21 +39,25 @@ class TokenIds:
     """Token ids of the byte-level BPE, as little-endian 16-bit words.
 
     Pre-tokens never reach over a single space, so ids of words between spaces are remembered (table of bounded size); a text
-    with two white-space characters side by side is encoded as a whole.
+    with two white-space characters side by side is encoded as a whole.  Where a text holds one of ``special`` (string: id), that string is its id,
+    and what stands before and behind it is encoded by itself.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int] | None = None):
         import tiktoken
 
+        self.special = dict(special or {})
+        self.cutter = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        if max(ranks.values()) > 0xFFFF:
+        if max(ranks.values(), default=0) > 0xFFFF or max(self.special.values(), default=0) > 0xFFFF:
             raise ValueError("ids don't fit 16 bits")
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.double = re.compile(r"\s\s")
         self.memo: dict[str, bytes] = {}
         texts = {i: b.decode("utf-8", "replace") for b, i in ranks.items()}
-        size = max(ranks.values()) + 2
+        size = max([*ranks.values(), *self.special.values()]) + 2
         self.ends = np.zeros(size, bool)
         self.opens = np.zeros(size, bool)
         for i, t in texts.items():
@@ -77,6 +82,11 @@ class TokenIds:
         return self._encode(" " + word)
 
     def __call__(self, text: str) -> np.ndarray:
+        if self.cutter is not None and len(parts := self.cutter.split(text)) > 1:
+            return np.concatenate([np.array([self.special[part]], "<u2") if k % 2 else self._plain(part) for k, part in enumerate(parts)])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, "<u2")
         if self.double.search(text):
@@ -233,18 +243,27 @@ def pack_stream(docs: Iterator[tuple], ids_of: Callable[[str], np.ndarray], sent
 
 
 _IDS: dict[tuple, TokenIds] = {}
+
+
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """Strings that a ``tokenizers`` file names as tokens of their own."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, window: int = 1024, sentence_penalty: float = SENTENCE_PENALTY, inner_penalty: float = INNER_PENALTY) -> DataFrame:
+def pack(df: DataFrame, ranks_path: str, pattern: str, *, special: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, window: int = 1024, sentence_penalty: float = SENTENCE_PENALTY, inner_penalty: float = INNER_PENALTY) -> DataFrame:
     """One row per piece: which tokens of which document stand where in which sequence."""
     bounded_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _IDS.get((ranks_path, pattern))
+        key = (ranks_path, pattern, tuple(sorted((special or {}).items())))
+        ids = _IDS.get(key)
         if ids is None:
-            ids = _IDS[ranks_path, pattern] = TokenIds(ranks_path, pattern)
+            ids = _IDS[key] = TokenIds(ranks_path, pattern, special)
         high = TaskContext.get().partitionId() << 32
         kind = None
 

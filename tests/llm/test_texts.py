@@ -293,9 +293,10 @@ def test_every_token_is_packed_once(spark, sf_dir, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    for frame in (spark.read.parquet(f"{sf_dir}/documents.parquet"), docs.where("doc_id <> 4"), docs.limit(0)):
+    special = spark.createDataFrame([(1, "<|endoftext|>"), (2, "a<|endoftext|> b. c <|endoftext|><|endoftext|>"), (3, "<|endoftext|")], "doc_id long, text string")
+    for frame in (spark.read.parquet(f"{sf_dir}/documents.parquet"), docs.where("doc_id <> 4"), docs.limit(0), special):
         texts = {r[0]: [*t.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in frame.select("doc_id", "text").collect()}
-        got = packing.pack(frame, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+        got = packing.pack(frame, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, special=packing.added_tokens(P.path("byte_bpe_50k.json"))).collect()
         by_doc, by_sequence = {}, {}
         for r in got:
             by_doc.setdefault(r["doc_id"], []).append(r)
@@ -325,8 +326,8 @@ def test_ids_equal_the_tokenizers():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    ids = packing.TokenIds(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    ids = packing.TokenIds(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, packing.added_tokens(P.path("byte_bpe_50k.json")))
+    assert ids("a<|endoftext|>b").tolist() == [64, 50256, 65]
     rnd = random.Random(5)
     for _ in range(1500):
         text = "".join(rnd.choice(["a", "the", " ", "\n", ".", ",", "é", "日", "'s", "12", "\t", " ", "<|endoftext|>", "!?", " "]) for _ in range(rnd.randint(0, 14)))
