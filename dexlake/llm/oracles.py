@@ -47,7 +47,8 @@ numbered AS (SELECT doc_id, s, sum(f) OVER (PARTITION BY doc_id ORDER BY s ROWS
 runs AS (SELECT doc_id, r, min(s) AS a, max(s) + 400 AS b FROM numbered GROUP BY ALL),
 gaps AS (SELECT doc_id, r, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY r), 0) AS p, a, b FROM runs),
 cut AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY r) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM gaps JOIN raw USING (doc_id) GROUP BY doc_id)
-SELECT raw.doc_id, raw.n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM raw LEFT JOIN cut USING (doc_id)"""
+SELECT raw.doc_id, raw.n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256,
+decode(unhex(CASE WHEN kept IS NULL THEN h ELSE array_to_string(list_filter(regexp_extract_all(kept, '[0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].|..'), lambda c: len(c) > 2 OR c < '80'), '') END)) AS text FROM raw LEFT JOIN cut USING (doc_id)"""
 
 
 SQL = {"op5_sharding": OP5, "op6_suffix_dedup": OP6, "op10_jaccard_join": OP10}

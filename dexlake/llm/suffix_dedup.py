@@ -14,20 +14,23 @@ A suffix array of the whole corpus can't be built in one place, so the corpus is
    windows next to each other; neighbours are compared byte by byte.
 5. The repeated window starts go back to all units of their context, and each document is cut.
 
-Two contexts count as equal when the hashes of anchor and context, 128 bits together, are.
+Two contexts count as equal when the 128-bit XXH3 hashes of their bytes are (BLAKE2b where groups are dealt again).  The rolling hash of the anchors only deals.
 
-Defined results: texts are UTF-8 bytes, null is the empty text; texts shorter than the window lose nothing; repeats in one document count;
-repeated rows (also with one id, told apart by a row number) repeat each other.  Nothing is capped: long texts are read in blocks, large groups are dealt again.
+Defined results: texts are UTF-8 bytes, null is the empty text; texts shorter than the window lose nothing; repeats in one document count.  What a
+row loses depends on its text alone, so texts are known by their SHA-256 (128 bits of it) and ids never matter: null ids and repeated ids are judged row by row, and
+repeated rows repeat each other.  Nothing is capped: long texts are read in blocks, large groups are dealt again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,9 @@ BATCH_BYTES = 1 << 17
 _BASE = U(0x9E3779B97F4A7C15)
 _DOWN = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
+_CUT = re.compile(rb"[\x80-\xff]")
+#: A character of UTF-8, or a byte by itself.
+_CHARACTER = re.compile(rb"[\x00-\x7f]|[\xc0-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xff][\x80-\xbf]{3}|.", re.DOTALL)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,8 +72,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def units_of(raw: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, context hash, first window start, number of starts and anchor offset of every unit of a text."""
+def units_of(raw: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, context hash (with the anchor's offset as its seed), first window start, number of starts and anchor offset of every unit of a text."""
     n = len(raw)
     parts = []
     reach = window - gram + 1
@@ -100,12 +106,13 @@ def units_of(raw: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nda
             starts = np.diff(np.append(first, len(anchors)))
             place = anchors[first]
             stop = first + starts - 1 + window
-            context = (sums[stop] - sums[first]) * down[first]
-            context += (stop - first).astype(U) * U(0xC2B2AE3D27D4EB4F) + (place - first).astype(U) * U(0x165667B19E3779F9)
-            parts.append((hashes[place], _mixed(context), first + at, starts, place - first))
+            parts.append((hashes[place], first + at, starts, place - first))
     if not parts:
-        return (np.empty(0, U), np.empty(0, U), *(np.empty(0, np.int64) for _ in range(3)))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        return (np.empty(0, U), [], *(np.empty(0, np.int64) for _ in range(3)))
+    anchors, first, starts, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
+    stop = first + starts - 1 + window
+    contexts = [xxhash.xxh3_128_digest(raw[a:b], seed=o) for a, b, o in zip(first.tolist(), stop.tolist(), offset.tolist(), strict=True)]
+    return anchors, contexts, first, starts, offset
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -203,11 +210,12 @@ def _units(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 made.append(units_of((text or "").encode("utf-8", "surrogatepass"), window, gram))
                 counts.append(len(made[-1][0]))
             if sum(counts):
-                anchor, context, first, starts, offset = (np.concatenate(x) for x in zip(*made, strict=True))
+                anchor, first, starts, offset = (np.concatenate([m[k] for m in made]) for k in (0, 2, 3, 4))
+                context = pa.array([c for m in made for c in m[1]], pa.binary())
                 docs_ = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-                yield pa.RecordBatch.from_arrays([docs_, pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(offset.astype(np.int32))], names=["doc", "anchor", "context", "first", "starts", "offset"])
+                yield pa.RecordBatch.from_arrays([docs_, pa.array(anchor.view(np.int64)), context, pa.array(first.astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(offset.astype(np.int32))], names=["doc", "anchor", "context", "first", "starts", "offset"])
 
-    return docs.mapInArrow(run, "doc long, anchor long, context long, first int, starts int, offset int")
+    return docs.mapInArrow(run, "doc binary, anchor long, context binary, first int, starts int, offset int")
 
 
 def _suffix_groups(contexts: DataFrame, window: int) -> DataFrame:
@@ -215,7 +223,7 @@ def _suffix_groups(contexts: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = RepeatFinder(window)
-        names, types = ["group", "context", "first", "last"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        names, types = ["group", "context", "first", "last"], [pa.int64(), pa.binary(), pa.int32(), pa.int32()]
         current, held = None, []
 
         def found() -> pa.RecordBatch:
@@ -236,7 +244,7 @@ def _suffix_groups(contexts: DataFrame, window: int) -> DataFrame:
             yield found()
 
     columns = ["group", "context", "copies", "offset", "raw"]
-    return contexts.select(*columns).repartition("group").sortWithinPartitions("group", "context").mapInArrow(run, "group long, context long, first int, last int")
+    return contexts.select(*columns).repartition("group").sortWithinPartitions("group", "context").mapInArrow(run, "group long, context binary, first int, last int")
 
 
 def _dealt_again(contexts: DataFrame, width: int, window: int) -> DataFrame:
@@ -244,10 +252,10 @@ def _dealt_again(contexts: DataFrame, width: int, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["group", "context", "copies", "offset", "raw", "parent_group", "parent", "shift"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int32()]
 
-        def name(*parts: bytes) -> int:
-            return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+        def digest(*parts: bytes, size: int) -> bytes:
+            return hashlib.blake2b(b"".join(parts), digest_size=size).digest()
 
         for batch in batches:
             rows = []
@@ -259,13 +267,13 @@ def _dealt_again(contexts: DataFrame, width: int, window: int) -> DataFrame:
                     end = min(last, offset - part * width)  # the last start of this part, its distance is part * width
                     middle = raw[offset - part * width : offset - part * width - width + 1 + window]
                     own = raw[s : end + window]
-                    key = name(part.to_bytes(4, "little"), middle)
-                    rows.append((key, name((offset - s).to_bytes(4, "little"), own), copies, offset - s, own, group, context, s))
+                    key = int.from_bytes(digest(part.to_bytes(4, "little"), middle, size=8), "little", signed=True)
+                    rows.append((key, digest((offset - s).to_bytes(4, "little"), own, size=16), copies, offset - s, own, group, context, s))
                     s = end + 1
             if rows:
                 yield _batch(rows, names, types)
 
-    schema = "group long, context long, copies long, offset int, raw binary, parent_group long, parent long, shift int"
+    schema = "group long, context binary, copies long, offset int, raw binary, parent_group long, parent binary, shift int"
     return contexts.select("group", "context", "copies", "offset", "raw").mapInArrow(run, schema)
 
 
@@ -300,7 +308,7 @@ def _repeats(contexts: DataFrame, sizes: DataFrame, window: int, most: int, widt
 
 
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """(doc, spans) of documents (doc long, text) that have repeated windows; spans are [first start, last start + window), unmerged."""
+    """(doc, spans) of the texts (doc, text) that have repeated windows; spans are [first start, last start + window), unmerged.  ``doc`` is :func:`text_key`."""
     bounded_batches(docs.sparkSession)
     units = cut(_units(docs, window, gram), "units")
     names = ["anchor", "context"]
@@ -314,7 +322,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, m
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ["group", "context", "copies", "offset", "raw"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
             rows = []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -327,12 +335,14 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, m
             if rows:
                 yield _batch(rows, columns, types)
 
-    contexts = cut(docs.join(by_doc, "doc").select("text", "wanted").mapInArrow(fetched, "group long, context long, copies long, offset int, raw binary"), "contexts")
+    texts = docs.join(by_doc, "doc").dropDuplicates(["doc"])  # of a repeated text one is enough
+    contexts = cut(texts.select("text", "wanted").mapInArrow(fetched, "group long, context binary, copies long, offset int, raw binary"), "contexts")
     found = _repeats(contexts, cut(_group_sizes(contexts), "sizes"), window, most_contexts, widths)
     runs = whole.unionByName(found.select(F.col("group").alias("anchor"), "context", "first", "last"))
     runs = cut(runs, "runs")
     spans = units.select("doc", "anchor", "context", F.col("first").alias("start")).join(runs, names)
-    return spans.groupBy("doc").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + window).alias("b"))).alias("spans"))
+    spans = spans.select("doc", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + window).alias("b"))
+    return spans.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # a set: a repeated text says the same as often as it comes
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -356,33 +366,43 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-def _spanned(df: DataFrame, id_col: str, text_col: str, **kw) -> tuple[DataFrame, Column]:
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return repeated_spans(docs, **kw), F.col(id_col).cast("long")
+def text_key(text: Column) -> Column:
+    """What a text is known by: 128 bits of its SHA-256; null is the empty text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def whole_characters(raw: bytes) -> bytes:
+    """``raw`` without the bytes of characters that were cut in two."""
+    return b"".join(c for c in _CHARACTER.findall(raw) if len(c) > 1 or c < b"\x80") if _CUT.search(raw) else raw
 
 
 def dedup_digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256) of every row.  Ids are unique integers."""
-    spans, _ = _spanned(df, id_col, text_col, **kw)
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256, text) of every row; text is what remains, less the bytes of characters cut in two."""
+    docs = df.select(text_key(F.col(text_col)).alias("doc"), F.col(text_col).alias("text"))
+    spans = repeated_spans(docs, **kw)
+    id_type = df.schema[id_col].dataType.simpleString()
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        columns = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
             rows = []
-            for doc, text, spans_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, spans_ in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 runs = merged(spans_ or [])
-                rows.append((doc, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(without(raw, runs)).hexdigest()))
-            yield _batch(rows, columns, types)
+                left = without(raw, runs)
+                rows.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(left).hexdigest(), whole_characters(left).decode("utf-8", "replace") if runs else text or ""))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=columns)
 
-    return docs.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(digested, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("doc"), F.col(text_col).alias("text"))
+    return rows.join(spans, "doc", "left").select("id", "text", "spans").mapInArrow(digested, f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
-def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+def deduplicated(df: DataFrame, *, text_col: str = "text", **kw) -> DataFrame:
     """``df`` with the repeated passages taken out of its texts; characters of which only a part is covered stay.  A null text stays null."""
-    spans, key = _spanned(df, id_col, text_col, **kw)
+    key = text_key(F.col(text_col))
+    spans = repeated_spans(df.select(key.alias("doc"), F.col(text_col).alias("text")), **kw)
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, runs: pd.Series) -> pd.Series:
@@ -402,5 +422,7 @@ def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             out.append(without(raw, whole).decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype="object")
 
-    joined = df.withColumn("_dedup_doc", key).join(spans.withColumnsRenamed({"doc": "_dedup_doc", "spans": "_dedup_spans"}), "_dedup_doc", "left")
-    return joined.withColumn(text_col, F.when(F.col("_dedup_spans").isNull(), F.col(text_col)).otherwise(kept(F.col(text_col), F.col("_dedup_spans")))).select(*df.columns)
+    joined = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("doc")).join(spans, "doc", "left")  # a struct: no name can clash
+    text = F.col("row").getField(text_col)
+    cut_ = F.when(F.col("spans").isNull(), text).otherwise(kept(text, F.col("spans")))
+    return joined.select(*[cut_.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns])

@@ -10,6 +10,7 @@ from fractions import Fraction
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from dexlake.llm import components, jaccard_join, lyndon, mixing, sharding, suffix_dedup
 
@@ -272,7 +273,7 @@ def test_blocks_of_long_texts(monkeypatch):
     parts = suffix_dedup.units_of(raw, 40, 20)
 
     def anchors(u):
-        return [(int(a), int(f) + int(o) - k) for a, _, f, n, o in zip(*u, strict=True) for k in [0] for _ in range(1)], sum(int(n) for n in u[3])
+        return [(int(a), int(f) + int(o)) for a, _, f, _, o in zip(*u, strict=True)], sum(int(n) for n in u[3])
 
     assert set(anchors(parts)[0]) == set(anchors(whole)[0]) and anchors(parts)[1] == anchors(whole)[1] == len(raw) - 39
 
@@ -287,6 +288,23 @@ def test_texts_without_their_repeats(docs):
     assert suffix_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_rows_are_told_apart_by_their_texts(spark):
+    """Repeated ids, null ids, repeated rows, and words that polynomials modulo a power of two can't tell apart."""
+    morse = "a"
+    while len(morse) < 1024:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other, passage, alone = morse.translate(str.maketrans("ab", "ba")), words(100, 60), words(150, 61)
+    rows = [(1, f"{words(20, 62)} {passage}"), (1, alone), (2, f"{passage} {words(20, 63)}"), (None, f"{words(9, 64)} {passage}"), (None, words(90, 65)), (3, None), (4, alone + " x"), (4, alone + " x"), (5, morse), (6, other), (7, other[:-1])]
+    expected = brute_dedup({k: t or "" for k, (_, t) in enumerate(rows)}, 40)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.dedup_digests(frame, window=40, gram=20).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted((rows[k][0] or 0, *v) for k, v in expected.items())
+    assert all(hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"] for r in got)
+    clashing = frame.withColumns({c: F.lit(1) for c in ("doc", "spans", "row", "_dedup_doc", "a.b")})
+    out = suffix_dedup.deduplicated(clashing, window=40, gram=20)
+    assert out.columns == clashing.columns and sorted(len(r["text"] or "") for r in out.collect()) == sorted(v[0] - v[1] for v in expected.values())
+
+
 def test_characters_are_not_cut_in_two(spark):
     shared = "é" * 300
     frame = spark.createDataFrame([(1, "ab" + shared), (2, "xyz" + shared + "ù")], "doc_id long, text string")
