@@ -1,6 +1,6 @@
 """Near duplicates by an n-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of its distinct w-word shingles, each the 64-bit XXH3 hash of its bytes.  Documents with equal sets are one class, and all
+A document is the set of its distinct w-word shingles.  A shingle is a 64-bit hash: the XXH3 hashes of its words, mixed in their order.  Documents with equal sets are one class, and all
 that follows is between classes.  In any one order of all shingles, two sets of similarity t share at least ``l`` of their first ``n - ceil(t n) + l``,
 for every l up to ``ceil(t n)``; the prefix may be lengthened if more shared shingles are asked for.
 
@@ -52,18 +52,47 @@ NODE_BYTES = 10
 ENTRY = np.dtype([("token", "<u8"), ("node", f"V{NODE_BYTES}"), ("n", "<u4"), ("need", "<u4"), ("hidden", "<u4")])
 
 
+MEMO_WORDS = 1 << 20
+
+
+class _WordHashes(dict):
+    """XXH3 of words, remembered in a table of bounded size."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_HASHES = _WordHashes()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits, in place."""
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(32)
+    return x
+
+
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """Distinct shingle hashes of a text, ascending (uint64)."""
-    joined = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if not joined:
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
         return np.empty(0, np.uint64)
-    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts = np.concatenate([[0], spaces + 1])
-    ends = np.append(spaces, len(joined))
-    k = min(width, len(starts)) - 1
-    starts, ends = starts[: len(starts) - k].tolist(), ends[k:].tolist()
-    hashed = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((hashed(joined[a:b]) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+    words = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    k = min(width, len(words))
+    n = len(words) - k + 1
+    h = np.full(n, k, np.uint64)
+    for i in range(k):  # every word goes into a state that was mixed with all before it
+        h ^= words[i : i + n]
+        _mixed(h)
+        h += np.uint64(0x9E3779B97F4A7C15)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def node_of(tokens: np.ndarray) -> bytes:
@@ -138,17 +167,6 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield current, held
 
 
-def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n_shingles, node) of every row; node is null for the empty set."""
-    id_type = docs.schema["id"].dataType.simpleString()
-
-    def made(batch: pa.RecordBatch) -> dict:
-        sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-        return {"id": batch.column(0), "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets]}
-
-    return by_rows(docs, made, f"id {id_type}, n_shingles long, node binary")
-
-
 def _blocks_for(entries: int) -> int:
     """Bits of a shingle's hash that name its block."""
     return max(0, min(MOST_BLOCKS, entries // BLOCK_ENTRIES).bit_length())
@@ -216,41 +234,71 @@ def known_counts(docs: DataFrame, total: int, width: int, least: int = KNOWN, mo
     return Known(shift, keys[order].view(np.uint64), counts[order], max(long, kept - 1))
 
 
-def _met(docs: DataFrame, known: Broadcast, total: int, width: int, a: int, b: int) -> DataFrame:
-    """(x, y) of classes that meet in as many short lists as they must to be similar."""
+def _dealt(docs: DataFrame, known: Broadcast, total: int, width: int, a: int, b: int) -> DataFrame:
+    """One pass over the texts, rows of three kinds: 0 (id, n, node) of every row; 1 (block, packed) entries of short lists; 2 (token, size, node, n) those
+    of long lists in plain prefixes, n being how many the document has.  A class is dealt once in each task."""
     bits = _blocks_for(total // 4)
+    step = math.log(b / a) if a < b else 1.0
+    id_type = docs.schema["id"].dataType.simpleString()
+    schema = f"kind int, id {id_type}, n long, node binary, block int, packed binary, token long, size int"
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(kind: int, count: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * count, pa.int32()) if f.name == "kind" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in arrow], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen, held, size = known.value, set(), [], 0
 
         def flush() -> pa.RecordBatch:
             entries = np.concatenate(held)
             blocks = (entries["token"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(entries), np.int64)
             order = np.argsort(blocks, kind="stable")
-            rows = [(block, part.tobytes()) for block, part in _by_block(blocks[order], entries[order])]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "packed"])
+            parts = [(block, part.tobytes()) for block, part in _by_block(blocks[order], entries[order])]
+            return rows(1, len(parts), block=[p[0] for p in parts], packed=[p[1] for p in parts])
 
         for batch in batches:
+            sizes, nodes, long_ = [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text, width)
                 n = len(tokens)
-                if not n or (node := node_of(tokens)) in seen:
+                node = node_of(tokens) if n else None
+                sizes.append(n)
+                nodes.append(node)
+                if not n or node in seen:
                     continue
                 seen.add(node)
                 tokens, counts = table.ordered(tokens)
                 l = matches_asked(counts, a, b)
                 reach = n - -(-a * n // b) + l
-                short = counts[:reach] <= table.long
-                own = np.empty(int(short.sum()), ENTRY)
-                own["token"], own["node"], own["n"], own["need"], own["hidden"] = tokens[:reach][short], np.void(node), n, l, reach - len(own)
+                short = int(np.searchsorted(counts[:reach], table.long, "right"))  # counts ascend
+                own = np.empty(short, ENTRY)
+                own["token"], own["node"], own["n"], own["need"], own["hidden"] = tokens[:short], np.void(node), n, l, reach - short
                 held.append(own)
-                size += len(own)
+                size += short
+                if short < (plain := reach - l + 1):
+                    # similar sizes are in one range or in neighbouring ones; each document goes to its own range and the next
+                    at = int(math.log(n) / step + 1e-9) if a < b else n
+                    long_ += [(t, s, node, plain - short) for t in tokens[short:plain].view(np.int64).tolist() for s in (at, at + 1)]
                 if size >= 1 << 20:
                     yield flush()
                     held, size = [], 0
+            if sizes:
+                yield rows(0, len(sizes), id=batch.column(0), n=sizes, node=nodes)
+            if long_:
+                columns = list(zip(*long_, strict=True))
+                yield rows(2, len(long_), token=columns[0], size=columns[1], node=columns[2], n=columns[3])
         if size:
             yield flush()
 
+    return cut(docs.mapInArrow(run, schema), "dealt")
+
+
+def _met(packed: DataFrame, a: int, b: int) -> DataFrame:
+    """(u, v) of classes that meet in as many short lists as they must to be similar, from (block, packed)."""
+
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
             entries = np.concatenate([np.frombuffer(r[0], ENTRY) for r in rows])
@@ -266,6 +314,7 @@ def _met(docs: DataFrame, known: Broadcast, total: int, width: int, a: int, b: i
                     break
                 x, y = entries[i], entries[i + shift]
                 near = b * np.minimum(x["n"], y["n"]).astype(np.int64) >= a * np.maximum(x["n"], y["n"]).astype(np.int64)
+                near &= x["node"] != y["node"]
                 xs.append(x[near])
                 ys.append(y[near])
             if xs and sum(map(len, xs)):
@@ -275,39 +324,15 @@ def _met(docs: DataFrame, known: Broadcast, total: int, width: int, a: int, b: i
                     u, v = (pa.FixedSizeBinaryArray.from_buffers(pa.binary(NODE_BYTES), len(z), [None, pa.py_buffer(z.tobytes())]).cast(pa.binary()) for z in (x["node"][at : at + (1 << 16)], y["node"][at : at + (1 << 16)]))
                     yield pa.RecordBatch.from_arrays([u, v, pa.array(lack[at : at + (1 << 16)])], names=["x", "y", "lack"])
 
-    packed = docs.mapInArrow(dealt, "block int, packed binary")
-    rows = packed.repartition("block").sortWithinPartitions("block").mapInArrow(paired, "x binary, y binary, lack long").where("x <> y")
+    rows = packed.repartition("block").sortWithinPartitions("block").mapInArrow(paired, "x binary, y binary, lack long")
     met = rows.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.count(F.lit(1)).alias("met"), F.first("lack").alias("lack"))
     return met.where("met >= lack").select("u", "v")
 
 
-def _members(docs: DataFrame, known: Broadcast, width: int, a: int, b: int) -> DataFrame:
-    """(pivot, node): for each long list of the plain prefixes and each size, all documents with the one that has most such shingles."""
-    step = math.log(b / a) if a < b else 1.0
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = known.value, set()
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                tokens = shingle_set(text, width)
-                n = len(tokens)
-                if not n or (node := node_of(tokens)) in seen:
-                    continue
-                seen.add(node)
-                tokens, counts = table.ordered(tokens)
-                reach = n - -(-a * n // b) + 1
-                long = tokens[:reach][counts[:reach] > table.long]
-                if len(long):
-                    # similar sizes are in one range or in neighbouring ones; each document goes to its own range and the next
-                    size = int(math.log(n) / step + 1e-9) if a < b else n
-                    rows += [(t, s, node, len(long)) for t in long.view(np.int64).tolist() for s in (size, size + 1)]
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names=["token", "size", "node", "long"])
-
-    lists = cut(docs.mapInArrow(dealt, "token long, size int, node binary, long int").distinct(), "lists")
-    pivots = lists.groupBy("token", "size").agg(F.max(F.struct("long", "node"))["node"].alias("pivot"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+def _members(lists: DataFrame) -> DataFrame:
+    """(pivot, node): for each long list (token, size, node, n) all its documents with the one that has most such shingles."""
+    lists = lists.distinct()
+    pivots = lists.groupBy("token", "size").agg(F.max(F.struct("n", "node"))["node"].alias("pivot"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     return lists.join(pivots, ["token", "size"]).select("pivot", "node").distinct()
 
 
@@ -399,13 +424,14 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bounded_batches(spark)
     a, b = ratio(similarity)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = cut(_signed(docs, width), "signed")
-    total = signed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    # about how many shingles there are, for the size of blocks only
+    most = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
+    table = spark.sparkContext.broadcast(known_counts(docs, most, width, known, most_known, long))  # 16 bytes an entry, most_known at most
+    dealt = _dealt(docs, table, most, width, a, b)
+    signed = dealt.where("kind = 0").select("id", F.col("n").alias("n_shingles"), "node")
     classes = cut(signed.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id")), "classes")
-    table = spark.sparkContext.broadcast(known_counts(docs, total, width, known, most_known, long))  # 16 bytes an entry, most_known at most
-
-    pairs = cut(_met(docs, table, total, width, a, b), "pairs")
-    members = cut(_members(docs, table, width, a, b), "members")
+    pairs = cut(_met(dealt.where("kind = 1").select("block", "packed"), a, b), "pairs")
+    members = cut(_members(dealt.where("kind = 2").select("token", "size", "node", "n")), "members")
     sets = _sets(docs, classes, _nodes(pairs, members), width)
     certain, more = _around_pivots(members, sets, a, b)
     pairs = pairs.unionByName(more.join(pairs, ["u", "v"], "left_anti"))
