@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from dexlake.formats.axml import STRING, string_pool, typed
+from dexlake.formats.axml import STRING, string_pool, typed, write_pool
 from dexlake.formats.binary import FormatError, part, u16, u32
 
 # Fixed values of the format.
@@ -85,4 +85,19 @@ def resources(data: bytes) -> Iterator[dict]:
                     yield row
 
 
-__all__ = ["STRING", "config_text", "resources"]
+def write(package: str, kind: str, values: list[tuple[str, str]]) -> bytes:
+    """A resource table with one package 0x7f, one type and string values (key, text) in the default configuration."""
+    n = lambda v, size=4: v.to_bytes(size, "little")
+    texts, keys = write_pool([t for _, t in values]), write_pool([k for k, _ in values])
+    types = write_pool([kind])
+    entries = b"".join(n(8, 2) + n(0, 2) + n(i) + n(8, 2) + n(0, 1) + n(STRING, 1) + n(i) for i in range(len(values)))
+    offsets = b"".join(n(16 * i) for i in range(len(values)))
+    header = 20 + 64
+    chunk = n(TYPE, 2) + n(header, 2) + n(header + len(offsets) + len(entries)) + n(1, 1) + n(0, 3) + n(len(values)) + n(header + len(offsets)) + n(64) + bytes(60) + offsets + entries
+    name = package.encode("utf-16-le")[:254].ljust(256, b"\0")
+    body = n(0x7F) + name + n(288) + n(0) + n(288 + len(types)) + n(0) + n(0)
+    package_ = n(PACKAGE, 2) + n(288, 2) + n(288 + len(types) + len(keys) + len(chunk)) + body + types + keys + chunk
+    return n(TABLE, 2) + n(12, 2) + n(12 + len(texts) + len(package_)) + n(1) + texts + package_
+
+
+__all__ = ["STRING", "config_text", "resources", "write"]

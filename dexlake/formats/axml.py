@@ -133,14 +133,24 @@ def xml_text(found: list[dict]) -> str:
     return "\n".join(out)
 
 
+def write_pool(strings: list[str]) -> bytes:
+    """A string pool chunk of UTF-16 strings below 32,768 units."""
+    data, offs = bytearray(), []
+    for s in strings:
+        raw = s.encode("utf-16-le")
+        offs.append(len(data))
+        data += struct.pack("<H", len(raw) // 2) + raw + b"\0\0"
+    data += b"\0" * (-len(data) % 4)
+    start = 28 + 4 * len(strings)
+    return struct.pack("<HHIIIIII", STRINGS, 28, start + len(data), len(strings), 0, 0, start, 0) + struct.pack(f"<{len(offs)}I", *offs) + bytes(data)
+
+
 def write(root: tuple) -> bytes:
     """Binary XML of (name, {attribute: value}, [children]); attributes have the Android namespace unless they begin with ":"."""
-    strings: list[str] = [ANDROID]
+    strings: dict[str, int] = {ANDROID: 0}
 
     def sid(s: str) -> int:
-        if s not in strings:
-            strings.append(s)
-        return strings.index(s)
+        return strings.setdefault(s, len(strings))
 
     body = bytearray()
 
@@ -168,13 +178,7 @@ def write(root: tuple) -> bytes:
         chunk(END, struct.pack("<II", NO_INDEX, sid(name)))
 
     element(root)
-    data, offs = b"", []
-    for s in strings:
-        offs.append(len(data))
-        data += struct.pack("<H", len(s.encode("utf-16-le")) // 2) + s.encode("utf-16-le") + b"\0\0"
-    data += b"\0" * (-len(data) % 4)
-    start = 28 + 4 * len(strings)
-    pool = struct.pack("<HHIIIIII", STRINGS, 28, start + len(data), len(strings), 0, 0, start, 0) + struct.pack(f"<{len(offs)}I", *offs) + data
+    pool = write_pool(list(strings))
     return struct.pack("<HHI", XML, 8, 8 + len(pool) + len(body)) + pool + bytes(body)
 
 

@@ -25,7 +25,7 @@ MOST_MEMBERS, MOST_LIST, DEEPEST = 1024, 1 << 20, 64
 
 #: Tables and their columns: kinds i (number), s (text), b (bytes), a (texts).
 TABLES = {
-    "dex": "dex_name:s version:s status:s header_off:i file_size:i checksum:i adler:i sha1_ok:i data_end:i entry_name:s",
+    "dex": "dex_name:s version:s status:s header_off:i file_size:i checksum:i adler:i sha1_ok:i data_end:i span:i entry_name:s",
     "string": "string_idx:i utf16_len:i mutf8:b text:s",
     "type": "type_idx:i string_idx:i descriptor:s",
     "proto": "proto_idx:i shorty:s return_type:s params:a",
@@ -291,7 +291,7 @@ def rows(data: bytes, name: str) -> Iterator[tuple[int, str, dict]]:
     starts = members(data)
     for k, at in enumerate(starts):
         shown = logical_name(name, k, len(starts))
-        base = {"dex_name": shown, "entry_name": name, "header_off": at}
+        base = {"dex_name": shown, "entry_name": name, "header_off": at, "span": (starts[k + 1] if k + 1 < len(starts) else len(data)) - at}
         if data[at : at + 4] != b"dex\n":
             yield k, "dex", base | {"status": "skipped"}
             yield k, "issue", {"stage": "magic", "message": f"{shown}: no DEX", "failed": 0}

@@ -51,3 +51,23 @@ def strings(data: bytes) -> Iterator[tuple[int, str, str]]:
         raw = part(data, storage + off, min(n, LONGEST))
         text = raw.decode("utf-16-le" if wide else "utf-8", "replace") + ("…" if n > LONGEST else "")
         yield i, what[i] if i < len(what) else "unknown", text
+
+
+def write(texts: list[str], version: int = 96) -> bytes:
+    """A bundle with a string table and nothing else; ``fileLength`` is its size."""
+    n = lambda v: v.to_bytes(4, "little")
+    small, over, storage = b"", b"", b""
+    for t in texts:
+        wide = not t.isascii()
+        raw = t.encode("utf-16-le", "surrogatepass") if wide else t.encode()
+        length = len(raw) // 2 if wide else len(raw)
+        if length < 0xFF and len(storage) <= 0x7FFFFF:
+            small += n(int(wide) | len(storage) << 1 | length << 24)
+        else:
+            small += n(int(wide) | len(over) // OVERFLOW << 1 | 0xFF << 24)
+            over += n(len(storage)) + n(length)
+        storage += raw
+    kinds = n(len(texts)) if texts else b""
+    body = kinds + small + over + storage
+    head = MAGIC + n(version) + bytes(20) + n(HEADER + len(body)) + bytes(4) + b"".join(map(n, (0, len(kinds) // 4, 0, len(texts), len(over) // OVERFLOW, len(storage))))
+    return head.ljust(HEADER, b"\0") + body

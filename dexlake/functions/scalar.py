@@ -115,3 +115,19 @@ def magic_kind(head: Column) -> Column:
         F.when(starts("6465780A"), "dex").when(starts("504B0304"), "zip").when(starts("7F454C46"), "elf").when(starts("03000800"), "axml")
         .when(starts("02000C00"), "arsc").when(starts("C61FBC03C103191F"), "hermes").when(starts("89504E47"), "png").when(starts("FFD8FF"), "jpeg")
     )
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, everything else as it is."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def jni_name_ok(name: Column) -> Column:
+    """Could this be the name of a Java method in a registration table?"""
+    return (F.octet_length(name) <= 255) & name.rlike(r"^(?:[A-Za-z0-9_$-]|[^\x00-\x7F])+$")
+
+
+def jni_signature_ok(signature: Column) -> Column:
+    """Is this a whole method descriptor?"""
+    field = r"\[*(?:[ZBSCIJFD]|L[^\x00-\x20(.\[;]+;)"
+    return signature.rlike(rf"^\((?:{field})*\)(?:V|{field})$")

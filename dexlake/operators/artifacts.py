@@ -98,8 +98,9 @@ def missing_components(components_: DataFrame, class_defs: DataFrame) -> DataFra
     """Components whose class no DEX of the artifact defines: count and the first ten."""
     wanted = components_.where("kind <> 'activity-alias'")
     gone = wanted.join(class_defs.select("aid", "descriptor").distinct(), ["aid", "descriptor"], "left_anti")
-    first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "class_name"))), lambda x: x["class_name"]), 1, 10)
-    return gone.groupBy("aid").agg(F.count(F.lit(1)).alias("missing"), first.alias("examples"))
+    rows = R.limit_with_total(gone.select("aid", "ord", "class_name"), 10, ["ord"], ["aid"])  # ten rows of each go on, not all
+    first = F.transform(F.array_sort(F.collect_list(F.struct("ord", "class_name"))), lambda x: x["class_name"])
+    return rows.groupBy("aid").agg(F.first("total").alias("missing"), first.alias("examples"))
 
 
 def xml_nodes(artifacts: DataFrame, entry: str = "AndroidManifest.xml") -> DataFrame:
@@ -178,22 +179,24 @@ def find_hermes(found: DataFrame, pattern: str = "", limit: int = 100_000) -> Da
 
 
 def native_libraries(artifacts: DataFrame) -> DataFrame:
-    """(aid, lib, abi, machine, symbols) of libraries under lib/ and assets/."""
+    """(aid, lib, lib_ord, abi, machine, symbols, tables, notes) of libraries under lib/ and assets/; ``tables`` are their static registration entries."""
 
     def rows(data: bytes) -> Iterator[dict]:
         for e in zip.entries(data):
             if e.name.startswith(("lib/", "assets/")) and e.name.lower().endswith(".so"):
                 folder = e.name.split("/")[1] if e.name.startswith("lib/") and e.name.count("/") > 1 else None
-                row = {"lib": e.name, "abi": folder}
+                row = {"lib": e.name, "lib_ord": e.entry_idx, "abi": folder}
                 try:
                     if e.uncompressed_size > 64 << 20:
                         raise FormatError("over 64 MiB")
                     lib = elf.Elf(zip.read(data, e))
-                    yield row | {"machine": lib.machine, "symbols": lib.exports()}
+                    symbols = lib.exports()
+                    tables, notes = lib.jni_tables()
+                    yield row | {"machine": lib.machine, "symbols": symbols, "tables": [{"name": n, "signature": s} for n, s, _ in tables], "notes": notes}
                 except FormatError as x:
                     yield row | {"error": str(x)}
 
-    libs = per_artifact(artifacts, rows, "lib string, abi string, machine string, symbols array<string>")
+    libs = per_artifact(artifacts, rows, "lib string, lib_ord int, abi string, machine string, symbols array<string>, tables array<struct<name:string,signature:string>>, notes array<string>")
     table = F.create_map(*[F.lit(x) for pair in S.ABI_MACHINES.items() for x in pair])
     expected = table[F.col("abi")]
     return libs.withColumn("abi_mismatch", F.coalesce(F.col("machine").isNotNull() & (expected != F.col("machine")), F.lit(False)))
@@ -203,6 +206,18 @@ def exports(libraries: DataFrame) -> DataFrame:
     return libraries.select("aid", "lib", F.explode("symbols").alias("symbol"))
 
 
+def jni_entries(libraries: DataFrame) -> DataFrame:
+    """(aid, lib, lib_ord, name, signature) of the static registration tables."""
+    return libraries.select("aid", "lib", "lib_ord", F.explode("tables").alias("t")).select("aid", "lib", "lib_ord", "t.name", "t.signature").distinct()
+
+
+def abi_split_missing(catalog, manifests_: DataFrame) -> DataFrame:
+    """(aid) of packages without a library under lib/ whose manifest asks for splits: the code may lie in splits that aren't there."""
+    asks = manifests_.where("error is null and required_splits").select("aid")
+    has = catalog.table("zip_entry").where("name like 'lib/%' and name like '%.so'").select("aid").distinct()
+    return asks.join(has, "aid", "left_anti").distinct()
+
+
 # signing ---------------------------------------------------------------------------------------------------------------
 
 CERT = "subject:string,issuer:string,serial:string,not_before:string,not_after:string,signature_algorithm:string,key_algorithm:string,sha256:string,sha1:string"
@@ -227,7 +242,7 @@ def signers(artifacts: DataFrame) -> DataFrame:
                     yield {"scheme": scheme, "signer": k, "certs": [signing.certificate(c) for c in s["certs"]], "min_sdk": s["min_sdk"], "max_sdk": s["max_sdk"], "algorithms": ["-".join(signing.ALGORITHMS.get(n, ("unknown", hex(n)))) for n, _ in s["signatures"]], "verdict": verdict}
         k = 0
         for e in zip.entries(data):
-            if e.name.upper().startswith("META-INF/") and e.name.count("/") == 1 and e.name.upper().endswith((".RSA", ".DSA", ".EC")):
+            if e.name.upper().startswith("META-INF/") and e.name.count("/") == 1 and (e.name.upper().endswith((".RSA", ".DSA", ".EC")) or e.name.upper().startswith("META-INF/SIG-")):
                 certs = signing.pkcs7_certificates(zip.read(data, e))
                 yield {"scheme": "v1", "signer": k, "certs": [signing.certificate(c) for c in certs], "algorithms": [], "verdict": "unsupported"}
                 k += 1
@@ -235,28 +250,46 @@ def signers(artifacts: DataFrame) -> DataFrame:
     return per_artifact(artifacts, rows, f"scheme string, signer int, certs array<struct<{CERT}>>, min_sdk long, max_sdk long, algorithms array<string>, verdict string")
 
 
-def jar_coverage(artifacts: DataFrame) -> DataFrame:
-    """Entries against META-INF/MANIFEST.MF: covered (and whether the digest holds), missing from the archive, or uncovered."""
+def jar_coverage(artifacts: DataFrame, budget: int = 1 << 30) -> DataFrame:
+    """Entries against META-INF/MANIFEST.MF: covered (and whether the digest holds), missing from the archive, or uncovered.
+
+    Of entries with one name the first counts, and ``copies`` says how many there are.  Contents are digested while they fit the budget of unpacked bytes; one that
+    doesn't fit is skipped (digest_ok is null) and later ones may fit.  ``sf_ok`` says whether the section's own digest in the signature file holds.
+    """
     import hashlib
 
     def rows(data: bytes) -> Iterator[dict]:
-        found = {e.name: e for e in zip.entries(data)}
+        found: dict[str, zip.Entry] = {}
+        copies: dict[str, int] = {}
+        for e in zip.entries(data):
+            found.setdefault(e.name, e)
+            copies[e.name] = copies.get(e.name, 0) + 1
         if "META-INF/MANIFEST.MF" not in found:
             raise FormatError("no JAR manifest")
-        named = {}
-        for section, _ in signing.jar_sections(zip.read(data, found["META-INF/MANIFEST.MF"])):
-            if "Name" in section:
-                named[section["Name"]] = signing.jar_digest(section)
-        for name, digest in named.items():
-            ok = None
-            if name in found and digest:
-                ok = hashlib.new(digest[0], zip.read(data, found[name])).digest() == digest[1]
-            yield {"name": name, "status": "covered" if name in found else "missing", "digest_ok": ok}
+        signed: dict[str, tuple[str, bytes] | None] = {}
+        for name, e in found.items():
+            if name.upper().startswith("META-INF/") and name.upper().endswith(".SF") and name.count("/") == 1:
+                for section, _ in signing.jar_sections(zip.read(data, e)):
+                    if "Name" in section:
+                        signed.setdefault(section["Name"], signing.jar_digest(section))
+        left, named = budget, set()
+        for section, raw in signing.jar_sections(zip.read(data, found["META-INF/MANIFEST.MF"])):
+            name = section.get("Name")
+            if name is None or name in named:
+                continue
+            named.add(name)
+            digest, said, ok = signing.jar_digest(section), signed.get(name), None
+            e = found.get(name)
+            if e is not None and digest and e.uncompressed_size <= left:
+                left -= e.uncompressed_size
+                ok = hashlib.new(digest[0], zip.read(data, e)).digest() == digest[1]
+            sf_ok = hashlib.new(said[0], raw).digest() == said[1] if said else None
+            yield {"name": name, "status": "missing" if e is None else "covered", "digest_ok": ok, "sf_ok": sf_ok, "copies": copies.get(name, 0)}
         for name in found:
             if name not in named and not name.endswith("/") and not name.upper().startswith("META-INF/"):
-                yield {"name": name, "status": "uncovered"}
+                yield {"name": name, "status": "uncovered", "copies": copies[name]}
 
-    return per_artifact(artifacts, rows, "name string, status string, digest_ok boolean")
+    return per_artifact(artifacts, rows, "name string, status string, digest_ok boolean, sf_ok boolean, copies int")
 
 
 def scheme_agreement(signers_: DataFrame) -> DataFrame:
@@ -300,21 +333,59 @@ def members(artifacts: DataFrame, budget: int = 1 << 30) -> DataFrame:
                 found = zip.entries(inner)
                 m = _entry(inner, "AndroidManifest.xml")
                 info = axml.manifest(m) if m is not None else None
-                abis = list(dict.fromkeys(x.name.split("/")[1] for x in found if x.name.startswith("lib/") and x.name.count("/") > 1))[:32]
+                abis = list(dict.fromkeys(x.name.split("/")[1] for x in found if x.name.startswith("lib/") and x.name.count("/") > 1))
                 role = "unknown" if info is None else "split" if info["split"] else "base"
-                yield row | {"role": role, "package": info and info["package"], "split": info and info["split"], "dex_count": len(zip.dex_entries(found)), "abis": abis, "lib_count": sum(x.name.endswith(".so") for x in found)}
+                yield row | {"role": role, "package": info and info["package"], "split": info and info["split"], "dex_count": len(zip.dex_entries(found)), "abis": abis, "libs": [x.name for x in found if x.name.endswith(".so")]}
             except FormatError as x:
                 yield row | {"error": str(x)}
 
-    return per_artifact(artifacts, rows, "name string, ord int, size long, role string, package string, split string, dex_count int, abis array<string>, lib_count int")
+    return per_artifact(artifacts, rows, "name string, ord int, size long, role string, package string, split string, dex_count int, abis array<string>, libs array<string>").withColumn("lib_count", F.size("libs"))
 
 
 def anomalies(dexes: DataFrame) -> DataFrame:
     """What is odd about DEX files: data behind the end, wrong checksum, wrong signature."""
     views = dexes.where("status = 'view'")
-    odd = [
-        views.where(F.col("file_size") - F.col("data_end") > 65_536).select("aid", "dx", F.lit("tail").alias("anomaly")),
-        views.where("checksum <> adler").select("aid", "dx", F.lit("checksum").alias("anomaly")),
-        views.where("sha1_ok = 0").select("aid", "dx", F.lit("signature").alias("anomaly")),
-    ]
-    return odd[0].unionByName(odd[1]).unionByName(odd[2])
+    odd = F.array(F.when(F.col("span") - F.col("data_end") > 65_536, "tail"), F.when(F.col("checksum") != F.col("adler"), "checksum"), F.when(F.col("sha1_ok") == 0, "signature"))
+    return views.select("aid", "dx", F.explode(F.filter(odd, lambda x: x.isNotNull())).alias("anomaly"))
+
+
+def _word(head: str, at: int) -> F.Column:
+    """The little-endian 32-bit word at a byte of a binary column."""
+    digits = F.hex(head)
+    return F.conv(F.concat(*[F.substring(digits, 2 * (at + k) + 1, 2) for k in (3, 2, 1, 0)]), 16, 10).cast("long")
+
+
+def artifact_anomalies(catalog, manifests_: DataFrame) -> DataFrame:
+    """(aid, subject, anomaly) over whole artifacts: those of :func:`anomalies`, sizes that headers deny, bundles that lie about their length
+    or version, packages that ask for splits, manifests of which no component has a class."""
+    dexes = catalog.table("dex").where("status = 'view'")
+    odd = anomalies(catalog.table("dex")).join(dexes.select("aid", "dx", F.col("dex_name").alias("subject")), ["aid", "dx"]).select("aid", "subject", "anomaly")
+    entries = catalog.table("zip_entry").where("first_of_name = 1").select("aid", F.col("name").alias("entry_name"), F.col("uncompressed_size").alias("actual"))
+    whole = catalog.table("artifact").where("input_kind = 'dex'").select("aid", F.col("size").alias("raw"))
+    # the members of a container make up the file together
+    said = dexes.groupBy("aid", "entry_name").agg(F.sum("file_size").alias("said")).join(entries, ["aid", "entry_name"], "left").join(whole, "aid", "left")
+    sizes = said.where(F.col("said") != F.coalesce("actual", "raw")).select("aid", F.col("entry_name").alias("subject"), F.lit("size").alias("anomaly"))
+    bundles = catalog.table("entry_sample").where("kind = 'hermes' and sample_bytes >= 36").join(catalog.table("zip_entry").select("aid", "entry_idx", "uncompressed_size"), ["aid", "entry_idx"])
+    wrong = F.array(F.when(_word("head", 32) != F.col("uncompressed_size"), "bundle length"), F.when(_word("head", 8) > 10_000, "bundle version"))
+    hermes_ = bundles.select("aid", F.col("name").alias("subject"), F.explode(F.filter(wrong, lambda x: x.isNotNull())).alias("anomaly"))
+    split = abi_split_missing(catalog, manifests_).select("aid", F.lit("").alias("subject"), F.lit("splits").alias("anomaly"))
+    parts = components(manifests_).where("kind <> 'activity-alias'")
+    total = parts.groupBy("aid").agg(F.count(F.lit(1)).alias("total"))
+    none = total.join(missing_components(parts, catalog.table("class_def")), "aid").where("missing = total").select("aid", F.lit("").alias("subject"), F.lit("components").alias("anomaly"))
+    return odd.unionByName(sizes).unionByName(hermes_).unionByName(split).unionByName(none)
+
+
+def inspect(catalog, manifests_: DataFrame) -> DataFrame:
+    """One row for each artifact: what it is, its entries by kind, DEX files and how far they were read, package and split, packer, anomalies, and
+    ``complete``: everything was read and every DEX ends where it says."""
+    from dexlake.operators import dexquery as Q
+
+    kinds = catalog.table("entry_sample").groupBy("aid", F.coalesce("kind", F.lit("other")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.groupBy("aid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("entry_kinds"))
+    dexes = catalog.table("dex").groupBy("aid").agg(F.count(F.lit(1)).alias("dex_count"), F.every((F.col("status") == "view") & F.col("data_end").isNotNull()).alias("whole"))
+    odd = artifact_anomalies(catalog, manifests_).groupBy("aid").agg(F.array_sort(F.collect_set(F.concat_ws(": ", F.nullif("subject", F.lit("")), "anomaly"))).alias("anomalies"))
+    info = manifests_.where("error is null").select("aid", "package", "split", "required_splits")
+    report = Q.coverage(catalog).join(catalog.table("artifact").select("aid", "input_kind", "size", "entry_count"), "aid")
+    for part in (kinds, dexes, info, Q.packers(catalog).select("aid", "packer"), odd):
+        report = report.join(part, "aid", "left")
+    return report.withColumns({"anomalies": F.coalesce("anomalies", F.array().cast("array<string>")), "dex_count": F.coalesce("dex_count", F.lit(0)), "complete": (F.col("coverage") == "complete") & F.coalesce("whole", F.lit(True))}).drop("whole")

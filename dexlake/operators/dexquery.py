@@ -67,7 +67,10 @@ def find_refs(catalog: Catalog, kind: str, pattern: str = "", **query) -> DataFr
     """(aid, dx, method_idx, caller, offset, matched, matched_text): each method that refers to a target, with all it refers to."""
     wanted = targets(catalog, kind, pattern, **query)
     refs = catalog.table("code_ref").where(F.col("ref_kind") == kind).select(*KEY, "code_off", "offset", "ref_kind", "ref_idx")
-    hits = refs.join(wanted, [*KEY, "ref_kind", "ref_idx"]).join(owners(catalog).select(*KEY, "code_off", "method_idx", "caller"), [*KEY, "code_off"])
+    # from targets to references, to the bodies that hold them, to the methods of these: each join takes what the last one left
+    bodies = catalog.table("class_method").where("code_off <> 0").select(*KEY, "method_idx", "code_off")
+    names = catalog.table("method").select(*KEY, "method_idx", S.label(F.col("class_descriptor"), F.col("name")).alias("caller"))
+    hits = refs.join(wanted, [*KEY, "ref_kind", "ref_idx"]).join(bodies, [*KEY, "code_off"]).join(names, [*KEY, "method_idx"])
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("ref_kind"))
     return R.grouped_matches(hits, [*KEY, "method_idx", "caller"], "offset", F.struct(order.alias("k"), "ref_idx", "label"))
 
@@ -85,16 +88,17 @@ def report_lines(hits: DataFrame, dexes: DataFrame) -> DataFrame:
 
 
 def first_source_line(catalog: Catalog, hits: DataFrame) -> DataFrame:
-    """Hits with the source line of their offset: the last debug row at or before it whose line is positive; of rows with its own pc the first;
-    else the first line of the method."""
-    lines = catalog.table("debug_line").where("line > 0")
+    """Hits with the source line of their offset: of the debug rows with a positive line the first at that offset, else the last before it, else the
+    first line of the method; null where the method has no debug rows."""
+    body = [*KEY, "code_off"]
+    rows = catalog.table("debug_line").select(*body, "ord", "pc", "line", "line_start")
+    starts = rows.groupBy(*body).agg(F.greatest(F.max("line_start"), F.lit(1)).alias("_start"))
+    # one row for each place: the first line said there holds at it, the last one from there on
+    places = rows.where("line > 0").groupBy(*body, "pc").agg(F.struct("pc", F.min_by("line", "ord").alias("at"), F.max_by("line", "ord").alias("after")).alias("_place"))
     bodies = owners(catalog).select(*KEY, "method_idx", "code_off")
-    joined = hits.join(bodies, [*KEY, "method_idx"]).join(lines, [*KEY, "code_off"], "left").where("pc is null or pc <= offset")
-    keys = [*KEY, "method_idx", "offset"]
-    exact = F.min(F.when(F.col("pc") == F.col("offset"), F.struct("ord", "line")))["line"]
-    before = F.max(F.when(F.col("pc") < F.col("offset"), F.struct("pc", "ord", "line")))["line"]
-    best = joined.groupBy(*keys).agg(F.coalesce(exact, before, F.greatest(F.max("line_start"), F.lit(1))).alias("line"))
-    return hits.join(best, keys, "left")
+    placed = R.as_of(hits.join(bodies, [*KEY, "method_idx"], "left"), places, body, "offset", "pc", "_place", "pc")
+    line = F.coalesce(F.when(F.col("_place.pc") == F.col("offset"), F.col("_place.at")).otherwise(F.col("_place.after")), F.col("_start"))
+    return placed.join(starts, body, "left").select(*hits.columns, line.alias("line"))
 
 
 def list_classes(catalog: Catalog, prefix: str = "") -> DataFrame:
@@ -191,9 +195,22 @@ def defining_dex(catalog: Catalog, class_name: str) -> DataFrame:
 
 
 def package_tree(catalog: Catalog) -> DataFrame:
-    """The tree of packages and classes of each defined class name."""
-    inner = F.regexp_replace("descriptor", "^L|;$", "")
-    return R.prefix_tree(catalog.table("class_def"), F.split(inner, "/"))
+    """The tree of packages and classes of each defined class name; an inner class (after ``$``) is a node below its outer one."""
+    inner = F.regexp_replace("descriptor", "^L+|;$", "")
+    packages = F.slice(F.split(inner, "/"), 1, F.greatest(F.size(F.split(inner, "/")) - 1, F.lit(0)))
+    classes = F.split(F.element_at(F.split(inner, "/"), -1), "\\$")
+    return R.prefix_tree(catalog.table("class_def"), F.filter(F.concat(packages, classes), lambda x: x != ""))
+
+
+def tree_filter(catalog: Catalog, needle: str) -> DataFrame:
+    """Defined classes whose descriptor holds the needle, whatever the case of ASCII letters; an empty needle keeps all."""
+    return catalog.table("class_def").where(S.ascii_lower(F.col("descriptor")).contains(S.ascii_lower(F.lit(needle)))).select(*KEY, "class_def_idx", "descriptor")
+
+
+def hit_filter(hits: DataFrame, needle: str) -> DataFrame:
+    """Hits of :func:`find_refs` whose caller or one of whose matches holds the needle, whatever the case of ASCII letters."""
+    lower = S.ascii_lower(F.lit(needle))
+    return hits.where(S.ascii_lower(F.col("caller")).contains(lower) | F.exists("matched", lambda m: S.ascii_lower(m).contains(lower)))
 
 
 def native_methods(catalog: Catalog) -> DataFrame:
@@ -219,14 +236,32 @@ def coverage(catalog: Catalog) -> DataFrame:
 
 def integrity(catalog: Catalog) -> DataFrame:
     """Checksums, sizes and what stands behind the data of each DEX."""
-    return catalog.table("dex").where("status = 'view'").select(*KEY, "dex_name", "version", (F.col("checksum") == F.col("adler")).alias("checksum_ok"), (F.col("sha1_ok") == 1).alias("signature_ok"), "file_size", "data_end", (F.col("file_size") - F.col("data_end")).alias("tail_bytes"))
+    return catalog.table("dex").where("status = 'view'").select(*KEY, "dex_name", "version", (F.col("checksum") == F.col("adler")).alias("checksum_ok"), (F.col("sha1_ok") == 1).alias("signature_ok"), "file_size", "data_end", (F.col("span") - F.col("data_end")).alias("tail_bytes"))
+
+
+def bind_tables(methods: DataFrame, tables: DataFrame) -> DataFrame:
+    """Native methods with the libraries (aid, lib, name, signature) whose static registration tables list them, in the order of the libraries."""
+    keys = ["aid", "dx", "class_def_idx", "list", "ord"]
+    listed = tables.groupBy("aid", "name", "signature", "lib").agg(F.min("lib_ord").alias("lib_ord"))
+    bound = methods.select(*keys, "name", "signature").join(listed, ["aid", "name", "signature"]).groupBy(*keys)
+    bound = bound.agg(F.transform(F.array_sort(F.collect_list(F.struct("lib_ord", "lib"))), lambda x: x["lib"]).alias("table_libs"))
+    return methods.join(bound, keys, "left").withColumn("table_libs", F.coalesce("table_libs", F.array().cast("array<string>")))
+
+
+def binding_counts(bound: DataFrame) -> DataFrame:
+    """(aid, methods, by_name, by_table, unbound, note) of methods with ``libs`` and ``table_libs``."""
+    named, listed = F.size("libs") > 0, F.size("table_libs") > 0
+    counts = bound.groupBy("aid").agg(F.count(F.lit(1)).alias("methods"), F.count_if(named).alias("by_name"), F.count_if(listed).alias("by_table"), F.count_if(~named & ~listed).alias("unbound"))
+    return counts.withColumn("note", F.when(F.col("unbound") == 0, None).when(F.col("unbound") == F.col("methods"), "all unbound").otherwise("some unbound"))
 
 
 def packers(catalog: Catalog) -> DataFrame:
-    """Artifacts with at least two of three signs of a packer: stub classes, encrypted-looking assets, library pairs."""
+    """Artifacts with at least two of three signs of the packer: stub classes, a family of libraries among the assets, its name in a string."""
     stub = catalog.table("class_def").where(F.col("descriptor").rlike(r"^Lv([0-9a-f]+)/l\1(\$[^;]*)?;")).select("aid").distinct().withColumn("a", F.lit(1))
-    asset = F.regexp_extract("name", "^assets/l([0-9a-f]+)_(\\w+)\\.so$", 1)
-    pairs = catalog.table("zip_entry").where(asset != "").groupBy("aid").agg(F.lit(1).alias("b"), F.when(F.count_distinct(asset, F.regexp_extract("name", "_(\\w+)\\.so$", 1)) >= 2, 1).alias("c"))
-    joined = catalog.table("artifact").join(stub, "aid", "left").join(pairs, "aid", "left")
+    # fixed value of the format: the architectures in the names of the family
+    family = F.regexp_extract("name", r"^assets/l([0-9a-f]+_(?:a32|a64|x86|x64))\.so$", 1)
+    assets = catalog.table("zip_entry").where(family != "").groupBy("aid").agg(F.count_distinct(family).alias("n")).where("n >= 2").select("aid", F.lit(1).alias("b"))
+    named = catalog.table("string").where(F.col("text").contains("Virbox")).select("aid").distinct().withColumn("c", F.lit(1))
+    joined = catalog.table("artifact").join(stub, "aid", "left").join(assets, "aid", "left").join(named, "aid", "left")
     n = F.size(F.filter(F.array("a", "b", "c"), lambda x: x.isNotNull()))
     return joined.select("aid", n.alias("signals"), F.when(n >= 2, "virbox").alias("packer"))

@@ -113,24 +113,24 @@ def hierarchy(seeds: DataFrame, edges: DataFrame, first_edges: DataFrame | None
     ``edges`` are (child, parent); the first step goes over ``first_edges`` where given.  Breadth first, one join a level; nodes that were met are
     anti-joined away, so cycles end.
     """
-    from dexlake.plans.lineage import cut
+    from dexlake.plans.lineage import folder
 
-    met = cut(seeds.select("node").distinct())
-    frontier, found, depth = met, None, 0
+    spark, path = seeds.sparkSession, folder(seeds.sparkSession)
+    kind = seeds.schema["node"].dataType.simpleString()
+    schema = f"node {kind}, via {kind}, depth int"
+    seeds.select("node", F.lit(None).cast(kind).alias("via")).distinct().write.parquet(f"{path}/depth=0")
+    depth = 0
     while max_depth is None or depth < max_depth:
+        # each level is written once, beside the earlier ones; all that was met is the folder
+        met = spark.read.schema(schema).parquet(path)
+        frontier = met.where(F.col("depth") == depth).select(F.col("node").alias("_at"))
         depth += 1
         used = first_edges if depth == 1 and first_edges is not None else edges
-        step = used.join(frontier, used["parent"] == frontier["node"]).groupBy("child").agg(F.min("parent").alias("via"))
-        step = cut(step.join(met, step["child"] == met["node"], "left_anti").select(F.col("child").alias("node"), F.lit(depth).alias("depth"), "via"))
-        if step.isEmpty():
+        step = used.join(frontier, used["parent"] == F.col("_at")).groupBy("child").agg(F.min("parent").alias("via"))
+        step.join(met.select("node"), step["child"] == met["node"], "left_anti").select(F.col("child").alias("node"), "via").write.parquet(f"{path}/depth={depth}")
+        if spark.read.schema(f"node {kind}, via {kind}").parquet(f"{path}/depth={depth}").isEmpty():
             break
-        found = step if found is None else found.unionByName(step)
-        frontier = step.select("node")
-        met = cut(met.unionByName(frontier))
-    if found is None:
-        kind = seeds.schema["node"].dataType.simpleString()
-        return seeds.sparkSession.createDataFrame([], f"node {kind}, depth int, via {kind}")
-    return found
+    return spark.read.schema(schema).parquet(path).where("depth > 0").select("node", "depth", "via")
 
 
 def call_tree(roots: DataFrame, edges: DataFrame, max_depth: int, max_nodes: int | None = None) -> DataFrame:

@@ -29,12 +29,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-@query("SELECT doc_id, source FROM documents WHERE contains(text, 'th')")
-def findrefs_string(spark, d):
-    """Case-sensitive substring, not a pattern."""
-    return _t(spark, d, "documents").where(F.col("text").contains("th")).select("doc_id", "source")
-
-
 @query("SELECT lang, min(doc_id) AS doc_id, string_agg(DISTINCT source, '; ' ORDER BY source) AS matched_text FROM documents WHERE lang IS NOT NULL GROUP BY lang")
 def findrefs_grouped(spark, d):
     docs = _t(spark, d, "documents").where("lang is not null")
@@ -72,32 +66,15 @@ def uri_split(spark, d):
     return _t(spark, d, "pages").select("page_id", S.scheme_of(F.col("url")).alias("scheme"), S.host_of(F.col("url")).alias("host"))
 
 
-_CALLS = "SELECT DISTINCT user_id AS caller, (user_id * 7 + event_id % 3) % 50 AS callee, event_id % 3 AS ord FROM events WHERE user_id < 50"
+_CALLS = "SELECT DISTINCT user_id AS caller, user_id + length(event_type) AS callee, length(event_type) AS ord FROM events"
 
 
 @query(f"""WITH RECURSIVE e AS ({_CALLS}), t AS (SELECT 1 AS depth, caller, callee FROM e WHERE caller = 8 UNION ALL SELECT t.depth + 1, e.caller, e.callee FROM t JOIN e ON e.caller = t.callee WHERE t.depth < 4)
 SELECT depth::INTEGER AS depth, caller, callee, count(*)::BIGINT AS paths FROM t GROUP BY ALL""")
 def call_tree(spark, d):
-    _t(spark, d, "events").createOrReplaceTempView("_events")
-    edges = spark.sql(_CALLS.replace("FROM events", "FROM _events")).withColumn("sites", F.lit(1).cast("long"))
+    edges = _t(spark, d, "events").select(F.col("user_id").alias("caller"), (F.col("user_id") + F.length("event_type")).alias("callee"), F.length("event_type").alias("ord")).distinct()
     roots = spark.range(1).select(F.lit(8).cast("long").alias("node"))
-    return R.call_tree(roots, edges, 4).groupBy("depth", "caller", "callee").agg(F.count(F.lit(1)).alias("paths"))
-
-
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def missing_components(spark, d):
-    return _t(spark, d, "documents").select("doc_id").join(_t(spark, d, "labels"), "doc_id", "left_anti")
-
-
-@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_brand), '#2')")
-def name_ilike(spark, d):
-    return _t(spark, d, "part").where(F.lower("p_name").contains("ring") | F.lower("p_brand").contains("#2")).select("p_partkey")
-
-
-@query("WITH w AS (SELECT source, unnest(string_split(text, ' ')) AS word, doc_id * 1000000 + generate_subscripts(string_split(text, ' '), 1) - 1 AS place FROM documents) SELECT source, word, count(*)::BIGINT AS sites, min(place)::BIGINT AS first_at FROM w WHERE source IN ('src1', 'src2') GROUP BY ALL")
-def class_strings(spark, d):
-    words = _t(spark, d, "documents").where(F.col("source").isin("src1", "src2")).select("source", "doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    return words.groupBy("source", "word").agg(F.count(F.lit(1)).alias("sites"), F.min(F.col("doc_id") * 1_000_000 + F.col("pos")).alias("first_at"))
+    return R.call_tree(roots, edges.withColumn("sites", F.lit(1).cast("long")), 4).groupBy("depth", "caller", "callee").agg(F.count(F.lit(1)).alias("paths"))
 
 
 @query("SELECT p_partkey, concat_ws(' ', " + ", ".join(f"CASE WHEN (p_partkey & {b}) <> 0 THEN '{n}' END" for b, n in S.ACCESS_FLAGS) + ") AS flags FROM part")
@@ -105,28 +82,6 @@ def access_flags(spark, d):
     return _t(spark, d, "part").select("p_partkey", S.access_flags(F.col("p_partkey")).alias("flags"))
 
 
-@query("WITH k AS (SELECT s_suppkey, unnest([s_nationkey, (s_suppkey % 25)::INTEGER]) AS k FROM supplier) SELECT s_suppkey, count(DISTINCT n_name)::BIGINT AS libs FROM k LEFT JOIN nation ON n_nationkey = k GROUP BY s_suppkey")
-def jni_or_join(spark, d):
-    """One key or the other: the two are exploded into equal joins."""
-    keys = _t(spark, d, "supplier").select("s_suppkey", F.explode(F.array("s_nationkey", (F.col("s_suppkey") % 25).cast("int"))).alias("n_nationkey"))
-    return keys.join(_t(spark, d, "nation"), "n_nationkey", "left").groupBy("s_suppkey").agg(F.count_distinct("n_name").alias("libs"))
-
-
-@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
-def except_names(spark, d):
-    return _t(spark, d, "documents").select("doc_id").subtract(_t(spark, d, "labels").select("doc_id"))
-
-
-@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
-def intersect_names(spark, d):
-    return _t(spark, d, "documents").select("doc_id").intersect(_t(spark, d, "labels").select("doc_id"))
-
-
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
-def props_json(spark, d):
-    return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-
-
 @query("WITH f AS (SELECT source, lang, min(doc_id) AS o FROM documents WHERE lang IS NOT NULL GROUP BY ALL) SELECT source, string_agg(lang, ',' ORDER BY o, lang) AS pool_text FROM f GROUP BY source")
 def pooled_dims(spark, d):
     return R.pooled(_t(spark, d, "documents").where("lang is not null"), ["source"], "lang", "doc_id").select("source", "pool_text")
@@ -137,22 +92,6 @@ def mask_control(spark, d):
     return _t(spark, d, "documents").select("doc_id", S.mask_control(F.col("text")).alias("masked"))
 
 
-@query("SELECT lang, source, count(*)::BIGINT AS n FROM documents GROUP BY ROLLUP (lang, source)")
-def rollup_counts(spark, d):
-    return _t(spark, d, "documents").rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, session::BIGINT AS session, count(*)::BIGINT AS events FROM s GROUP BY ALL")
-def sessions(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts").cast("timestamp").cast("double") - F.lag("ts").over(w).cast("timestamp").cast("double")
-    marked = _t(spark, d, "events").withColumn("fresh", F.when(gap <= 1800, 0).otherwise(1))
-    numbered = marked.withColumn("session", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("events"))
-
-
 _SEGMENTS = r"list_filter(string_split(regexp_replace(regexp_replace(url, '^[^:]+://', ''), '[?#].*$', ''), '/'), lambda x: x <> '')"
 
 
@@ -191,35 +130,16 @@ def asof_line(spark, d):
     return R.as_of(asked, orders, ["c_custkey"], "at", "o_orderdate", "o_orderkey", "o_orderkey")
 
 
-@query("WITH r AS (SELECT p_partkey AS region, p_size AS start, (p_partkey % 5)::INTEGER AS n FROM part WHERE p_partkey < 40) SELECT region, count(*)::BIGINT AS hits, sum(l_orderkey)::BIGINT AS keys FROM lineitem JOIN r ON l_quantity >= start AND l_quantity < start + n GROUP BY region")
+@query("WITH r AS (SELECT p_partkey AS region, p_partkey * 7 AS start, p_size AS n FROM part) SELECT region, count(*)::BIGINT AS hits, sum(l_orderkey)::BIGINT AS keys FROM lineitem JOIN r ON l_orderkey >= start AND l_orderkey < start + n GROUP BY region")
 def range_region(spark, d):
-    ranges = _t(spark, d, "part").where("p_partkey < 40").select(F.col("p_partkey").alias("region"), F.col("p_size").alias("start"), (F.col("p_partkey") % 5).cast("int").alias("n"))
-    points = _t(spark, d, "lineitem").select("l_orderkey", "l_quantity")
-    return R.in_ranges(points, ranges, "l_quantity", "start", "n").groupBy("region").agg(F.count(F.lit(1)).alias("hits"), F.sum("l_orderkey").alias("keys"))
+    ranges = _t(spark, d, "part").select(F.col("p_partkey").alias("region"), (F.col("p_partkey") * 7).alias("start"), F.col("p_size").alias("n"))
+    points = _t(spark, d, "lineitem").select("l_orderkey")
+    return R.in_ranges(points, ranges, "l_orderkey", "start", "n").groupBy("region").agg(F.count(F.lit(1)).alias("hits"), F.sum("l_orderkey").alias("keys"))
 
 
-@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey = b.s_nationkey")
-def theta_pairs(spark, d):
-    s = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    a, b = s.withColumnRenamed("s_suppkey", "a"), s.withColumnRenamed("s_suppkey", "b")
-    return a.join(b, "s_nationkey").where("a < b").select("a", "b")
-
-
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL THEN 'covered' WHEN l.doc_id IS NULL THEN 'missing' ELSE 'uncovered' END AS status FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL OUTER JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL THEN 'covered' WHEN l.doc_id IS NULL THEN 'missing' ELSE 'uncovered' END AS status FROM (SELECT DISTINCT doc_id FROM documents) d FULL OUTER JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
 def coverage_full_outer(spark, d):
-    return R.coverage(_t(spark, d, "documents").where("doc_id % 3 <> 0"), _t(spark, d, "labels"), "doc_id")
-
-
-@query("SELECT user_id, count(*)::BIGINT AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 20")
-def callers_top(spark, d):
-    return _t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").limit(20)
-
-
-@query("SELECT page_id, CASE WHEN s >= 2 THEN 'packed' END AS packer, s AS signals FROM (SELECT page_id, (CASE WHEN contains(html, '<script') THEN 1 ELSE 0 END + CASE WHEN length(url) % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN contains(url, '?') THEN 1 ELSE 0 END)::INTEGER AS s FROM pages)")
-def packer_signals(spark, d):
-    signals = F.array(F.when(F.col("html").contains("<script"), 1), F.when(F.length("url") % 2 == 0, 1), F.when(F.col("url").contains("?"), 1))
-    n = F.size(F.filter(signals, lambda x: x.isNotNull()))
-    return _t(spark, d, "pages").select("page_id", F.when(n >= 2, "packed").alias("packer"), n.alias("signals"))
+    return R.coverage(_t(spark, d, "documents"), _t(spark, d, "labels"), "doc_id")
 
 
 @query("WITH x AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS e, o_custkey % 2 = 0 AS f, CASE WHEN o_orderkey % 3 = 0 THEN 'provider' ELSE 'activity' END AS k, (o_orderkey % 40)::INTEGER AS t FROM orders) SELECT o_orderkey, CASE WHEN e IS NOT NULL THEN e WHEN k = 'provider' THEN t < 17 ELSE f END AS exported, CASE WHEN e IS NOT NULL THEN 'explicit' WHEN k <> 'provider' AND f AND t >= 31 THEN 'missing_required' ELSE 'legacy_inferred' END AS state FROM x")
@@ -230,13 +150,6 @@ def exported_state(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", value.alias("exported"), state.alias("state"))
 
 
-@query("SELECT 0 AS section, p_partkey AS ordinal, p_name AS name FROM part WHERE contains(lower(p_name), 'gear') UNION ALL SELECT 1, s_suppkey, s_name FROM supplier WHERE contains(lower(s_name), '7')")
-def mapping_union(spark, d):
-    a = _t(spark, d, "part").where(F.lower("p_name").contains("gear")).select(F.lit(0).alias("section"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name"))
-    b = _t(spark, d, "supplier").where(F.lower("s_name").contains("7")).select(F.lit(1).alias("section"), F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("name"))
-    return a.unionByName(b)
-
-
 @query("SELECT n_nationkey, unnest(generate_series(1, n_regionkey)) AS step FROM nation")
 def rle_expand(spark, d):
     return R.expand_runs(_t(spark, d, "nation"), "n_regionkey").select("n_nationkey", "step")
@@ -247,17 +160,3 @@ def carry_forward(spark, d):
     return R.carry_forward(_t(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("turn")), "asked_at").select("conv_id", "turn", "asked_at")
 
 
-@query("SELECT source, count(*) FILTER (WHERE lang = 'en')::BIGINT AS matched, count(*)::BIGINT AS total, bool_and(n_chars > 10) AS complete, bool_or(lang = 'fr') AS any_fr FROM documents GROUP BY source")
-def conditional_counts(spark, d):
-    return _t(spark, d, "documents").groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("matched"), F.count(F.lit(1)).alias("total"), F.every(F.col("n_chars") > 10).alias("complete"), F.some(F.col("lang") == "fr").alias("any_fr"))
-
-
-@query("SELECT n_regionkey AS region, count(*)::BIGINT AS total, string_agg(n_name, ',' ORDER BY n_nationkey) FILTER (WHERE rn <= 3) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation) GROUP BY n_regionkey")
-def first_examples(spark, d):
-    firsts = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]), 1, 3)
-    return _t(spark, d, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count(F.lit(1)).alias("total"), F.array_join(firsts, ",").alias("examples"))
-
-
-@query("SELECT text, count(*)::BIGINT AS copies FROM documents GROUP BY text HAVING count(*) > 1")
-def duplicate_names(spark, d):
-    return _t(spark, d, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")

@@ -33,12 +33,18 @@ def _sweep() -> None:
             return
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` and read it again."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A fresh folder in the shared one, removed when the process ends."""
     path = f"{shared_dir(spark)}/level-{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(_sweep)
     _WRITTEN.append((spark, path))
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` and read it again."""
+    spark = df.sparkSession
+    path = folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dexlake.operators import dexquery as Q
+from dexlake.plans.built import once
 from dexlake.plans.driver import query
-from dexlake.plans.lineage import cut
-from dexlake.sources.artifacts import Catalog, wide_records
+from dexlake.plans.lineage import cut, folder
+from dexlake.sources.artifacts import Catalog
 
 CHUNK = 500
 
@@ -37,7 +38,7 @@ def _artifacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _catalog(spark: SparkSession, d: str) -> Catalog:
-    return Catalog(cut(wide_records(_artifacts(spark, d))))
+    return once(spark, d, "chunks", lambda: Catalog.write(cut(_artifacts(spark, d)), folder(spark), mode="overwrite"))
 
 
 def _key(column: str) -> F.Column:
@@ -69,10 +70,9 @@ def dex_hierarchy(spark, d):
     return Q.subclasses(_catalog(spark, d), "t.P2").select(_key("node").alias("node"), "depth", _key("via").alias("via"))
 
 
-@query(f"SELECT p_partkey AS caller, p_partkey // 4 AS callee, 1::BIGINT AS sites FROM part WHERE p_partkey < {CHUNK}")
+@query("SELECT p_partkey AS caller, p_partkey // 4 AS callee, 1::BIGINT AS sites FROM part")
 def dex_calls(spark, d):
-    edges = Q.call_edges(_catalog(spark, d)).where("aid = 'chunk0'")
-    return edges.select(_key("caller").alias("caller"), _key("callee").alias("callee"), "sites")
+    return Q.call_edges(_catalog(spark, d)).select(_key("caller").alias("caller"), _key("callee").alias("callee"), "sites")
 
 
 @query("WITH RECURSIVE t AS (SELECT 1 AS depth, 130::BIGINT AS caller, 130 // 4 AS callee UNION ALL SELECT depth + 1, callee, callee // 4 FROM t WHERE depth < 5) SELECT depth::INTEGER AS depth, caller::BIGINT AS caller, callee::BIGINT AS callee FROM t")

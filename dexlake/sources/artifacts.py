@@ -61,8 +61,12 @@ def kind_of(head: bytes) -> str | None:
     return None
 
 
-def records(path: str, data: bytes) -> Iterator[tuple[str, int | None, dict]]:
-    """(table, DEX ordinal, columns) of everything in one artifact."""
+def records(path: str, data: bytes | None) -> Iterator[tuple[str, int | None, dict]]:
+    """(table, DEX ordinal, columns) of everything in one artifact; content that wasn't read (None) is an issue."""
+    if data is None:
+        yield "artifact", None, {"path": path, "input_kind": "unknown"}
+        yield "issue", None, {"stage": "read", "message": f"{path}: not read, too long", "failed": 1}
+        return
     if data[:4] == b"dex\n":
         yield "artifact", None, {"path": path, "input_kind": "dex", "size": len(data), "entry_count": 0}
         for k, table, columns in dex.rows(data, path.rsplit("/", 1)[-1]):
@@ -99,12 +103,26 @@ def records(path: str, data: bytes) -> Iterator[tuple[str, int | None, dict]]:
             at += 1
 
 
-def read_artifacts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(aid, path, content) of the files in a folder; the id is a digest of the content."""
+LONGEST = (1 << 31) - 1024  # bytes of a file that one row can hold
+
+
+def contents(files: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(aid, path, content) of rows of a binary file source.  The content of a longer file isn't read: it is null, and the id is a digest of the path."""
+    read = files.where(F.col("length") <= longest).select(F.sha2("content", 256).alias("aid"), "path", "content")
+    return read.unionByName(files.where(F.col("length") > longest).select(F.sha2(F.col("path").cast("binary"), 256).alias("aid"), "path", F.lit(None).cast("binary").alias("content")))
+
+
+def read_artifacts(spark: SparkSession, path: str, glob: str | None = None, longest: int = LONGEST) -> DataFrame:
+    """(aid, path, content) of the files in a folder; the id is a digest of the content.  Of files with equal content the first by path is kept."""
+    from pyspark.sql import Window
+
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select(F.sha2("content", 256).alias("aid"), "path", "content")
+    files = contents(reader.load(path), longest)
+    # only ids and paths are compared; the driver has listed all paths, and those of copies are fewer
+    copies = files.select("aid", "path").withColumn("n", F.row_number().over(Window.partitionBy("aid").orderBy("path"))).where("n > 1").select("path")
+    return files.join(F.broadcast(copies), "path", "left_anti").select("aid", "path", "content")
 
 
 def wide_records(artifacts: DataFrame) -> DataFrame:
@@ -120,7 +138,7 @@ def wide_records(artifacts: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 aid, path, content = (batch.column(c)[i].as_py() for c in range(3))
-                for table, dx, columns in records(path, content or b""):
+                for table, dx, columns in records(path, content):
                     row = dict.fromkeys(_NAMES) | {"kind": table, "aid": aid, "dx": dx}
                     for name, value in columns.items():
                         row[PLACES[table][name]] = value

@@ -3,13 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dexlake.formats import axml, synth, zip
+from dexlake.formats import axml, hermes, synth, zip
 from dexlake.operators import artifacts as A
 from dexlake.operators import dexquery as Q
 from dexlake.operators import mapping
-from dexlake.sources.artifacts import Catalog, read_artifacts
+from dexlake.sources.artifacts import Catalog, read_artifacts, wide_records
 from dexlake.streaming import ingest
-from tests.test_formats import MANIFEST, hermes_bundle
+from tests.test_formats import MANIFEST
 
 
 def apk():
@@ -21,7 +21,7 @@ def apk():
         synth.Class("La/b/Util;", methods=[synth.Method("go", body=[("call", ("La/b/Main;", "run", "()V")), ("string", "https://y")], virtual=False)]),
     ])
     two = synth.build([synth.Class("La/b/Sub;", parent="La/b/Main;"), synth.Class("La/b/SubSub;", parent="La/b/Sub;")])
-    return zip.write([("AndroidManifest.xml", axml.write(MANIFEST)), ("classes2.dex", two), ("classes.dex", one), ("assets/index.android.bundle", hermes_bundle(["hello", "wörld"]))])
+    return zip.write([("AndroidManifest.xml", axml.write(MANIFEST)), ("classes2.dex", two), ("classes.dex", one), ("assets/index.android.bundle", hermes.write(["hello", "wörld"]))])
 
 
 @pytest.fixture(scope="module")
@@ -85,12 +85,107 @@ def test_coverage_and_integrity(catalog):
     assert rows(Q.packers(catalog), "signals") == [(0,), (0,)]
 
 
+def test_source_lines(spark):
+    """The first row at the offset, else the last one before it, else the method's first line; lines that aren't positive don't count."""
+    from dexlake.sources.artifacts import PLACES, SCHEMA
+
+    def wide(kind, **columns):
+        return {"kind": kind, "aid": "a", "dx": 0} | {PLACES[kind][k]: v for k, v in columns.items()}
+
+    rows_ = [wide("method", method_idx=m, class_descriptor="La;", name=f"m{m}", signature="()V") for m in range(3)]
+    rows_ += [wide("class_method", class_def_idx=0, list=0, ord=m, method_idx=m, access_flags=1, code_off=10 + m) for m in range(3)]
+    for m, found in enumerate([[(0, 4, 20), (1, 4, 21), (2, 9, 22), (3, 9, -5)], [(0, 2, 0)]]):
+        rows_ += [wide("debug_line", code_off=10 + m, ord=o, pc=pc, line=line, line_start=7) for o, pc, line in found]
+    catalog = Catalog(spark.createDataFrame([{c.split()[0]: r.get(c.split()[0]) for c in SCHEMA.split(", ")} for r in rows_], SCHEMA))
+    hits = spark.createDataFrame([("a", 0, m, o) for m, o in [(0, 0), (0, 3), (0, 4), (0, 5), (0, 8), (0, 9), (0, 30), (1, 2), (2, 1)]], "aid string, dx int, method_idx long, offset long")
+    got = rows(Q.first_source_line(catalog, hits).fillna(-1), "method_idx", "offset", "line")
+    assert got == [(0, 0, 7), (0, 3, 7), (0, 4, 20), (0, 5, 21), (0, 8, 21), (0, 9, 22), (0, 30, 22), (1, 2, 7), (2, 1, -1)]
+
+
+def test_copies_and_long_files(spark, tmp_path):
+    for name in ("one.apk", "two.apk"):
+        (tmp_path / name).write_bytes(apk())
+    (tmp_path / "long.apk").write_bytes(b"x" * 100_000)
+    found = read_artifacts(spark, str(tmp_path), "*.apk", longest=50_000)
+    catalog = Catalog(wide_records(found).cache())
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in found.collect()) == ["long.apk", "one.apk"]
+    assert [r["sites"] for r in Q.call_edges(catalog).where("caller like '%Main%'").collect()] == [2]
+    assert sorted(r["coverage"] for r in Q.coverage(catalog).collect()) == ["complete", "unknown"]
+    assert "too long" in catalog.table("issue").first()["message"]
+
+
+@pytest.mark.parametrize(
+    ("classes", "files", "text", "signals"),
+    [
+        (["Lv1f/l1f;"], [], None, 1), (["Lv1f/l1f$a;"], ["assets/l2b_a64.so", "assets/l2b_x86.so"], None, 2), (["Lv1f/l1f;"], ["assets/l2b_a64.so"], None, 1), ([], ["assets/l2b_a64.so", "assets/l2b_x86.so"], None, 1),
+        (["Lv1f/l2f;"], ["assets/l2b_a64.so", "assets/l2b_arm.so"], "a Virbox b", 1), (["Lv1f/l1f;"], [], "Virbox", 2),
+    ],
+)
+def test_packers(spark, classes, files, text, signals):
+    body = [("string", text)] if text else None
+    raw = zip.write([("classes.dex", synth.build([synth.Class("La;", methods=[synth.Method("x", body=body or [("string", "-")])]), *map(synth.Class, classes)])), *((f, b"x") for f in files)])
+    catalog = Catalog(wide_records(spark.createDataFrame([("a", "a.apk", bytearray(raw))], "aid string, path string, content binary")))
+    (row,) = Q.packers(catalog).collect()
+    assert (row["signals"], row["packer"]) == (signals, "virbox" if signals >= 2 else None)
+
+
+def test_reports_of_odd_artifacts(spark):
+    dex = synth.build([synth.Class("La/b/Main;")], tail=b"x" * 70_000, checksum=7)
+    bundle = bytearray(hermes.write(["a"]))
+    bundle[8:12], bundle[32:36] = (20_000).to_bytes(4, "little"), (9).to_bytes(4, "little")
+    manifest = ("manifest", {":package": "z", "requiredSplitTypes": "base__abi"}, [("application", {}, [("activity", {"name": ".No"}, [])])])
+    odd = zip.write([("AndroidManifest.xml", axml.write(manifest)), ("classes.dex", dex), ("assets/x.bundle", bytes(bundle))])
+    files = spark.createDataFrame([("odd", "odd.apk", bytearray(odd)), ("good", "good.apk", bytearray(apk())), ("raw", "raw.dex", bytearray(synth.build([synth.Class("La;")])))], "aid string, path string, content binary")
+    catalog, found = Catalog(wide_records(files).cache()), A.manifests(files).cache()
+    got = {r["aid"]: r for r in A.inspect(catalog, found).collect()}
+    assert {"classes.dex: tail", "classes.dex: checksum", "assets/x.bundle: bundle version", "assets/x.bundle: bundle length", "splits", "components"} <= set(got["odd"]["anomalies"])
+    assert got["good"]["anomalies"] == [] and got["good"]["complete"] and got["raw"]["complete"] and got["raw"]["input_kind"] == "dex"
+    assert got["good"]["entry_kinds"]["dex"] == 2 and got["good"]["package"] == "a.b"
+
+
+def test_filters(catalog):
+    assert rows(Q.tree_filter(catalog, "/SUB"), "descriptor") == [("La/b/Sub;",), ("La/b/SubSub;",)]
+    hits = Q.find_refs(catalog, "string", "https://")
+    assert rows(Q.hit_filter(hits, "HTTPS://Y"), "caller") == [("La/b/Util;->go",)] and rows(Q.hit_filter(hits, "main"), "caller") == [("La/b/Main;->run",)]
+
+
+def test_inner_classes_are_below_outer_ones(spark):
+    raw = synth.build([synth.Class("La/B$C$D;"), synth.Class("La/B;"), synth.Class("LE;")])
+    catalog = Catalog(wide_records(spark.createDataFrame([("a", "a.dex", bytearray(raw))], "aid string, path string, content binary")))
+    assert rows(Q.package_tree(catalog), "path", "depth", "entries") == [("E", 1, 1), ("a", 1, 2), ("a/B", 2, 2), ("a/B/C", 3, 1), ("a/B/C/D", 4, 1)]
+
+
+def test_jar_digests_budgets_and_copies(spark):
+    import base64
+    import hashlib
+
+    def digest(b):
+        return base64.b64encode(hashlib.sha256(b).digest()).decode()
+
+    sections = [f"Name: {n}\r\nSHA-256-Digest: {digest(c)}\r\n\r\n" for n, c in (("big", b"b" * 100), ("small", b"s"), ("gone", b""))]
+    manifest = "Manifest-Version: 1.0\r\n\r\n" + "".join(sections)
+    signature = "Signature-Version: 1.0\r\n\r\n" + f"Name: big\r\nSHA-256-Digest: {digest(sections[0].encode())}\r\n\r\nName: small\r\nSHA-256-Digest: {digest(b'?')}\r\n\r\n"
+    raw = zip.write([("META-INF/MANIFEST.MF", manifest.encode()), ("META-INF/A.SF", signature.encode()), ("big", b"b" * 100), ("small", b"s"), ("small", b"again"), ("extra", b"e")])
+    frame = spark.createDataFrame([("a", bytearray(raw))], "aid string, content binary")
+
+    def shown(budget):
+        return sorted((r["name"], r["status"], r["digest_ok"], r["sf_ok"], r["copies"]) for r in A.jar_coverage(frame, budget).collect())
+
+    assert shown(1 << 20) == [("big", "covered", True, True, 1), ("extra", "uncovered", None, None, 1), ("gone", "missing", None, None, 0), ("small", "covered", True, False, 2)]
+    assert [r[2] for r in shown(50)] == [None, None, None, True]
+
+
 def test_native_binding(spark, catalog):
     methods = Q.native_methods(catalog)
     assert rows(methods, "short_name", "long_name") == [("Java_a_b_Main_nat", "Java_a_b_Main_nat__I")]
     aid = methods.first()["aid"]
     exports = spark.createDataFrame([(aid, "lib/x.so", "Java_a_b_Main_nat__I"), (aid, "lib/a.so", "Java_a_b_Main_nat")], "aid string, lib string, symbol string")
-    assert Q.bind_exports(methods, exports).first()["libs"] == ["lib/a.so", "lib/x.so"]
+    bound = Q.bind_exports(methods, exports)
+    assert bound.first()["libs"] == ["lib/a.so", "lib/x.so"]
+    tables = spark.createDataFrame([(aid, "lib/z.so", 1, "nat", "(I)V"), (aid, "lib/b.so", 2, "nat", "(I)V"), (aid, "lib/b.so", 2, "nat", "(I)V"), (aid, "lib/c.so", 3, "nat", "()V")], "aid string, lib string, lib_ord int, name string, signature string")
+    listed = Q.bind_tables(bound, tables)
+    assert listed.first()["table_libs"] == ["lib/z.so", "lib/b.so"]
+    assert rows(Q.binding_counts(listed), "methods", "by_name", "by_table", "unbound") == [(1, 1, 1, 0)]
 
 
 def test_manifest_operators(files, catalog):

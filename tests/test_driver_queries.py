@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from dexlake.plans import driver, roundtrip  # noqa: F401
+from dexlake.plans import built, driver, roundtrip  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from dexlake.formats import axml, binary, dex, hermes, opcodes, signing, synth, zip
+from dexlake.formats import arsc, axml, binary, dex, elf, hermes, opcodes, signing, synth, zip
 
 
 @given(st.integers(0, (1 << 32) - 1))
@@ -115,23 +115,10 @@ def test_manifest_round_trip():
     assert '<activity android:name=".Main">' in axml.xml_text(axml.nodes(axml.write(MANIFEST)))
 
 
-def hermes_bundle(strings, version=96):
-    small, storage = b"", b""
-    for s in strings:
-        wide = not s.isascii()
-        raw = s.encode("utf-16-le") if wide else s.encode()
-        n = len(raw) // 2 if wide else len(raw)
-        small += (int(wide) | len(storage) << 1 | n << 24).to_bytes(4, "little")
-        storage += raw
-    counts = [0, 1, 0, len(strings), 0, len(storage)]
-    head = hermes.MAGIC + version.to_bytes(4, "little") + bytes(28) + b"".join(c.to_bytes(4, "little") for c in counts)
-    return head.ljust(hermes.HEADER, b"\0") + len(strings).to_bytes(4, "little") + small + storage
-
-
 def test_hermes_strings():
-    assert [t for _, _, t in hermes.strings(hermes_bundle(["abc", "né", ""]))] == ["abc", "né", ""]
+    assert [t for _, _, t in hermes.strings(hermes.write(["abc", "né", "", "x" * 300, "é" * 254]))] == ["abc", "né", "", "x" * 300, "é" * 254]
     with pytest.raises(binary.FormatError):
-        list(hermes.strings(hermes_bundle(["a"], version=60)))
+        list(hermes.strings(hermes.write(["a"], version=60)))
 
 
 def test_jar_sections_join_continuation_lines():
@@ -149,3 +136,31 @@ def test_der_lengths_and_names():
 def test_adler_is_over_everything_behind_the_checksum():
     raw = synth.build(_classes())
     assert int.from_bytes(raw[8:12], "little") == zlib.adler32(raw[12:])
+
+
+def test_resources_round_trip():
+    found = list(arsc.resources(arsc.write("a.b", "string", [("one", "x"), ("two", "é😀")])))
+    assert [(r["package"], r["res_id"], r["type"], r["key"], r["config"], r["text"]) for r in found] == [("a.b", 0x7F010000, "string", "one", "default", "x"), ("a.b", 0x7F010001, "string", "two", "default", "é😀")]
+
+
+def test_libraries_export_and_register():
+    lib = elf.Elf(elf.write(["Java_a", "Java_b"], [("go", "(ILa/B;[[J)Z"), ("no name", "()V"), ("x", "(V)V"), ("y", "()V")]))
+    assert lib.machine == "aarch64" and lib.exports() == ["Java_a", "Java_b"]
+    tables, notes = lib.jni_tables()
+    assert [(n, s) for n, s, _ in tables] == [("go", "(ILa/B;[[J)Z"), ("y", "()V")] and not notes
+    assert elf.Elf(elf.write(["a"])).jni_tables() == ([], [])
+    broken = bytearray(elf.write([], [("go", "()V")]))
+    for at in range(64, len(broken), 7):
+        try:
+            elf.Elf(bytes(broken[:at])).jni_tables()
+        except binary.FormatError:
+            pass
+
+
+def test_packed_relocations():
+    put = binary.put_sleb
+    one = b"APS2" + put(3) + put(100) + put(2) + put(1 | 2 | 8) + put(8) + put(1027) + put(5) + put(-2) + put(1) + put(8) + put(4) + put(1025) + put(7)
+    assert list(elf.unpacked(one, True, True)) == [(108, 1027, 5), (116, 1027, 3), (120, 1025, 10)]
+    for bad in (b"APS1", one[:9], b"APS2" + put(1) + put(0) + put(2) + put(0), b"APS2" + put(1) + put(0) + put(1) + put(8) + put(1) + put(1) + put(1)):
+        with pytest.raises(binary.FormatError):
+            list(elf.unpacked(bad, True, False))
