@@ -52,7 +52,7 @@ NODE_BYTES = 10
 ENTRY = np.dtype([("token", "<u8"), ("node", f"V{NODE_BYTES}"), ("n", "<u4"), ("need", "<u4"), ("hidden", "<u4")])
 
 
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 1 << 16
 
 
 class _WordHashes(dict):
@@ -197,7 +197,7 @@ def known_counts(docs: DataFrame, total: int, width: int, least: int = KNOWN, mo
                 if len(s := shingle_set(text, width)):
                     held.append(s >> np.uint64(shift))
                     size += len(s)
-                    if size >= 1 << 22:
+                    if size >= 1 << 20:
                         yield flush()
                         held, size = [], 0
         if held:
@@ -282,7 +282,7 @@ def _dealt(docs: DataFrame, known: Broadcast, total: int, width: int, a: int, b:
                     # similar sizes are in one range or in neighbouring ones; each document goes to its own range and the next
                     at = int(math.log(n) / step + 1e-9) if a < b else n
                     long_ += [(t, s, node, plain - short) for t in tokens[short:plain].view(np.int64).tolist() for s in (at, at + 1)]
-                if size >= 1 << 20:
+                if size >= 1 << 18:
                     yield flush()
                     held, size = [], 0
             if sizes:
