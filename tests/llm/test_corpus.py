@@ -350,6 +350,28 @@ def test_packing_follows_the_schedule(spark, sf_dir, tmp_path):
         assert all(abs(had[s] - a * t / sum(weights.values())) < 1 for s, a in weights.items())
 
 
+def test_one_row_of_each_group_stays(spark, sf_dir):
+    import corpus_pipeline as C
+
+    a, b = words(60, 70), words(60, 71)
+    rows = [(5, a), (5, a), (5, b), (None, a), (None, b + " x"), (7, words(60, 72)), (None, words(60, 73)), (3, a + " y"), (8, None), (8, None)]
+    frame = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = C.near_duplicates(spark, frame, sf_dir).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in got) == sorted([(3, a + " y"), (5, b), (7, rows[5][1]), (0, rows[6][1]), (8, ""), (8, "")])
+
+
+def test_short_passages_go(spark, sf_dir):
+    """A passage of 51 words of about five letters, too short for the window of the operator's query."""
+    import corpus_pipeline as C
+
+    r = random.Random(80)
+    passage = " ".join("".join(r.choice("abcdefgh") for _ in range(4 + k % 3)) for k in range(51))
+    rows = [(k, f"{words(40, 81 + k)} {passage} {words(30, 91 + k)}", "en", "src0", 0) for k in range(3)] + [(9, words(100, 99), "en", "src0", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"]: x["text"] for x in C.repeated_passages(spark, frame, sf_dir).collect()}
+    assert len(passage) < 400 and all(passage not in got[k] and words(40, 81 + k) in got[k] for k in range(3)) and got[9] == rows[3][1]
+
+
 def test_pipeline_stages_take_odd_rows(spark, sf_dir):
     import corpus_pipeline as C
 
