@@ -1,8 +1,9 @@
 """Language identification: known words by their log frequency, unseen words by ever shorter character n-grams.
 
-A model is learned from a bounded sample of labelled texts (``docs_per_language``, default 1,200, the rest of the corpus isn't needed for
-four or forty languages).  It holds the log frequency of the most frequent words and of the most frequent n-grams (one to five letters,
-with marks for a word's start and end) for each language; both tables are bounded, so the model can be broadcast.
+A model is learned from a bounded sample of labelled texts (``docs_per_language``, default 1,200, of the ``most_languages``, default 256, with most
+labelled texts).  It holds the log frequency of words and n-grams (one to five letters, with marks for a word's start and end) in each
+language.  Every language brings its own most frequent ones (``words_per_language`` and ``ngrams_per_language``, default 15,000 each): these parameters
+bound the model, so it can be broadcast.
 
 A text is lower-cased and cut into runs of letters.  A word that the model knows has its log frequency in each language;
 for any other word the longest n-grams of it that the model knows are taken (all of that length, their mean), and a word of which not
@@ -15,6 +16,7 @@ Whole texts are read; language, source and id are never used for a prediction.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from dexlake.llm.common import by_rows, texts_of
 
 DOCS_PER_LANGUAGE = 1200
-MOST_WORDS, MOST_NGRAMS, LONGEST = 60_000, 60_000, 5
+MOST_LANGUAGES, WORDS_PER_LANGUAGE, NGRAMS_PER_LANGUAGE, LONGEST = 256, 15_000, 15_000, 5
 MEMO_WORDS = 500_000
 SHARPNESS = 2.0
 UNKNOWN = "und"
@@ -52,7 +54,7 @@ class LanguageModel:
     gram_scores: np.ndarray
 
     @classmethod
-    def learn(cls, labelled: Iterable[tuple[str, str]], *, most_words: int = MOST_WORDS, most_ngrams: int = MOST_NGRAMS) -> LanguageModel:
+    def learn(cls, labelled: Iterable[tuple[str, str]], *, words_per_language: int = WORDS_PER_LANGUAGE, ngrams_per_language: int = NGRAMS_PER_LANGUAGE) -> LanguageModel:
         counts: dict[str, Counter] = {}
         for text, language in labelled:
             counts.setdefault(language, Counter()).update(WORD.findall(text.lower()))
@@ -69,7 +71,8 @@ class LanguageModel:
             total: Counter = Counter()
             for c in by.values():
                 total.update(c)
-            kept = [k for k, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most]]
+            chosen = {k for c in by.values() for k in heapq.nsmallest(most, c, key=lambda k, c=c: (-c[k], k))}
+            kept = sorted(chosen, key=lambda k: (-total[k], k))
             scores = np.empty((len(kept), len(languages)), np.float32)
             for j, language in enumerate(languages):
                 own = by[language]
@@ -77,7 +80,7 @@ class LanguageModel:
                 scores[:, j] = [math.log(own.get(k, 0) + 0.5) - whole for k in kept]
             return {k: i for i, k in enumerate(kept)}, scores
 
-        return cls(languages, *table(counts, most_words), *table(grams, most_ngrams))
+        return cls(languages, *table(counts, words_per_language), *table(grams, ngrams_per_language))
 
 
 class LanguageScorer:
@@ -129,19 +132,20 @@ class LanguageScorer:
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
-def learn_languages(df: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> LanguageModel:
+def learn_languages(df: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, **sizes: int) -> LanguageModel:
     """Learn from rows where ``learn_from`` holds and text and language are known.
 
-    The sample of a language is the rows whose hashed id falls below a threshold that lets ``docs_per_language`` through on average.
+    The sample of a language is the rows whose hash (of id and text) falls below a threshold that lets ``docs_per_language`` through on average; rows
+    that are repeated whole count once.  ``sizes`` are the bounds of the model's tables.
     """
     usable = df.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_languages).collect()}
     if not counts:
         return LanguageModel([], {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_language / n))])
-    drawn = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_col)), F.lit(1 << 30)) < share[F.col(lang_col)] * (1 << 30)
-    rows = usable.where(drawn).select(text_col, lang_col).toLocalIterator(prefetchPartitions=False)
-    return LanguageModel.learn((r[0], r[1]) for r in rows)
+    drawn = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) < share[F.col(lang_col)] * (1 << 30)
+    rows = usable.where(drawn).select(id_col, text_col, lang_col).distinct().select(text_col, lang_col).toLocalIterator(prefetchPartitions=False)
+    return LanguageModel.learn(((r[0], r[1]) for r in rows), **sizes)
 
 
 _SCORERS: dict[str, LanguageScorer] = {}

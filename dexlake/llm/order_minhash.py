@@ -75,11 +75,14 @@ class OrderMinHash:
             h = self._kmers(text)
             n = len(h)
             # occurrence numbers: equal k-mers stand together after sorting, in text order
-            if n < 1 << 24:
+            place = same = None
+            if n < 1 << 24:  # hash and place fit one word, which sorts faster
                 packed = np.sort((h & U(0xFFFFFFFFFF000000)) | np.arange(n, dtype=U))
                 place = (packed & U(0xFFFFFF)).astype(np.int64)
-                same = packed >> U(24)
-            else:
+                same = h[place]
+                if ((same[1:] != same[:-1]) & (packed[1:] >> U(24) == packed[:-1] >> U(24))).any():
+                    place = None  # two k-mers agree in the 40 bits that were sorted: the whole hashes decide
+            if place is None:
                 place = np.argsort(h, kind="stable")
                 same = h[place]
             rank = np.arange(n)

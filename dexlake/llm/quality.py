@@ -6,7 +6,7 @@ its mark in -1 to 1.  A logistic curve, fitted to labelled texts that weren't us
 the mark into a score: the chance that the label is 1.
 
 The sample of labelled texts is bounded (``docs_per_class``, default 3,000 of each label: two thirds train the dictionaries, one third
-fits the curve), so are dictionaries (110 KB each) and curve.  Whole texts are scored.  Empty and null texts have mark 0.
+fits the curve; a dictionary is trained on ``parts_per_class``, default 6,000, random pieces of ``SAMPLE_BYTES`` of them), so are dictionaries (110 KB each) and curve.  Whole texts are scored.  Empty and null texts have mark 0.
 If a class has no labelled text the score is the share of label 1 (0.5 without any label).  Of several labels of one id the least counts.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from dexlake.llm.common import bounded_batches, by_rows, texts_of
 
 DOCS_PER_CLASS = 3000
-DICTIONARY_BYTES, SAMPLE_BYTES, MOST_SAMPLES, LEVEL, BLOCK = 112_640, 1024, 6000, 3, 2048
+DICTIONARY_BYTES, SAMPLE_BYTES, PARTS_PER_CLASS, LEVEL, BLOCK = 112_640, 1024, 6000, 3, 2048
 THRESHOLD = 0.7
 
 
@@ -38,13 +38,13 @@ class QualityModel:
     offset: float
 
 
-def _train(texts: Sequence[str]) -> bytes:
-    """A dictionary from texts; of very few texts, the texts themselves."""
+def _train(texts: Sequence[str], parts_per_class: int = PARTS_PER_CLASS) -> bytes:
+    """A dictionary from pieces of texts; of very few texts (the trainer refuses them), the texts themselves."""
     import zstandard
 
     parts = [b[i : i + SAMPLE_BYTES] for b in (t.encode("utf-8", "surrogatepass") for t in texts) for i in range(0, len(b), SAMPLE_BYTES)]
     random.Random(len(parts)).shuffle(parts)
-    parts = parts[:MOST_SAMPLES]
+    parts = parts[:parts_per_class]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
     except zstandard.ZstdError:
@@ -90,7 +90,7 @@ def _logistic(marks: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def learn(labelled: Sequence[tuple[str, int]], share_good: float | None = None) -> QualityModel:
+def learn(labelled: Sequence[tuple[str, int]], share_good: float | None = None, parts_per_class: int = PARTS_PER_CLASS) -> QualityModel:
     """labelled: (text, 0 or 1).  share_good: the share of label 1 among all labelled texts, where the sample doesn't keep it."""
     rows = sorted(labelled, key=lambda r: (r[1], r[0]))
     random.Random(8).shuffle(rows)
@@ -102,7 +102,7 @@ def learn(labelled: Sequence[tuple[str, int]], share_good: float | None = None)
     fitted, rest = [], []
     for k, texts in enumerate(classes):
         cut = max(1, len(texts) * 2 // 3)
-        fitted.append(_train(texts[:cut]))
+        fitted.append(_train(texts[:cut], parts_per_class))
         rest += [(t, k) for t in texts[cut:] or texts]
     model = QualityModel(fitted[1], fitted[0], 1.0, 0.0)
     scorer = QualityScorer(model)
@@ -114,7 +114,7 @@ def learn(labelled: Sequence[tuple[str, int]], share_good: float | None = None)
     return model
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", docs_per_class: int = DOCS_PER_CLASS) -> QualityModel:
+def learn_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", docs_per_class: int = DOCS_PER_CLASS, parts_per_class: int = PARTS_PER_CLASS) -> QualityModel:
     """Learn from rows where ``learn_from`` (over the id) holds, on a sample of ``docs_per_class`` ids of each label on average."""
     known = labels.where(learn_from & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("_label"))
     counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
@@ -124,7 +124,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, *, id_
     drawn = known.where(F.pmod(F.xxhash64(F.lit("quality sample"), F.col(id_col)), F.lit(1 << 30)) < share[F.col("_label")] * (1 << 30))
     # some thousand ids whatever the corpus holds: the sample's bound is the broadcast's
     rows = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(drawn), id_col).select(text_col, "_label")
-    return learn([(r[0], r[1]) for r in rows.toLocalIterator(prefetchPartitions=False)], counts.get(1, 0) / sum(counts.values()))
+    return learn([(r[0], r[1]) for r in rows.toLocalIterator(prefetchPartitions=False)], counts.get(1, 0) / sum(counts.values()), parts_per_class)
 
 
 _SCORERS: dict[str, QualityScorer] = {}

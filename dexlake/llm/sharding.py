@@ -13,6 +13,7 @@ key order.  Null texts have the empty text's hash and the least size; null ids c
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from dexlake.llm.common import byte_size, cut
 
-RANGES_PER_SHARD, ROWS_PER_RANGE, MOST_RANGES, SAMPLES_PER_RANGE, ROUNDS = 8, 200_000, 4096, 16, 3
+RANGES_PER_SHARD, ROWS_PER_RANGE, MOST_RANGES, SAMPLES_PER_RANGE = 8, 200_000, 4096, 16
 RECORD_BYTES = 8
 
 
@@ -67,7 +68,7 @@ def splitters(records: DataFrame, total: int, ranges: int) -> list[str]:
     drawn = _draw(records, F.lit(wanted / total), F.lit(total / wanted), "splitters").collect()
     bounds = sorted(set(_quantiles([(r[0], r[1]) for r in drawn], ranges)))
     target = total / ranges
-    for attempt in range(ROUNDS):
+    for attempt in itertools.count():
         sizes = {r[0]: (r[1], r[2]) for r in records.groupBy(_range_of(F.col("key"), bounds).alias("r")).agg(F.sum("size"), F.count(F.lit(1))).collect()}
         over = {k: n for k, (n, rows) in sizes.items() if n > 2 * target and rows > 1}
         if not over or len(bounds) + len(over) > MOST_RANGES:
@@ -80,6 +81,8 @@ def splitters(records: DataFrame, total: int, ranges: int) -> list[str]:
             mine = [(r[0], r[1]) for r in again if bisect.bisect_right(bounds, r[0]) == k]
             if mine:
                 added.update(_quantiles(mine, math.ceil(n / target)))
+        if added <= set(bounds):  # nothing left to divide by: the rows of such a range have one key
+            break
         bounds = sorted({*bounds, *added})
     return bounds
 

@@ -208,6 +208,65 @@ def test_texts_come_back_from_tiffs(docs):
     assert got[2]["feature"] == got[3]["feature"] and tiff.text_media(docs.limit(0)).count() == 0
 
 
+def plain_tiff_samples(media):
+    """The samples of a little-endian TIFF, read entry by entry: strips and tiles of 8-bit samples, PackBits or deflate, horizontal differences undone."""
+    import struct
+
+    def values(kind, n, at):
+        form = {3: "H", 4: "I"}[kind]
+        size = struct.calcsize(form) * n
+        start = at if size <= 4 else struct.unpack_from("<I", media, at)[0]
+        return struct.unpack_from(f"<{n}{form}", media, start)
+
+    assert media[:4] == b"II*\0"
+    found, at = b"", struct.unpack_from("<I", media, 4)[0]
+    while at:
+        (entries,) = struct.unpack_from("<H", media, at)
+        tags = {}
+        for k in range(entries):
+            tag, kind, n = struct.unpack_from("<HHI", media, at + 2 + 12 * k)
+            tags[tag] = values(kind, n, at + 10 + 12 * k)
+        (at,) = struct.unpack_from("<I", media, at + 2 + 12 * entries)
+        width, height = tags[256][0], tags[257][0]
+        tiled = 322 in tags
+        across, down = (tags[322][0], tags[323][0]) if tiled else (width, tags.get(278, (height,))[0])
+        page = [bytearray(width) for _ in range(height)]
+        per_row = -(-width // across)
+        for k, (start, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
+            raw, top, left = media[start : start + size], k // per_row * down, k % per_row * across
+            if tags[259][0] == 8:
+                raw = zlib.decompress(raw)
+            elif tags[259][0] == 32773:
+                out, i = b"", 0
+                while i < len(raw):
+                    c = raw[i]
+                    if c < 128:
+                        out, i = out + raw[i + 1 : i + 2 + c], i + 2 + c
+                    elif c > 128:
+                        out, i = out + raw[i + 1 : i + 2] * (257 - c), i + 2
+                    else:
+                        i += 1
+                raw = out
+            else:
+                assert tags[259][0] == 1
+            for y in range(min(down, height - top)):
+                line = bytearray(raw[y * across : (y + 1) * across])
+                if tags.get(317, (1,))[0] == 2:
+                    for x in range(1, len(line)):
+                        line[x] = (line[x] + line[x - 1]) & 255
+                page[top + y][left : left + across] = line[: width - left]
+        found += b"".join(page)
+    return found
+
+
+@pytest.mark.parametrize("size", [0, 1, 575, 576, 577, 576 * 64, 576 * 65 + 3, 100_000])
+def test_another_reader_finds_the_payload(size):
+    rnd = random.Random(size)
+    for text in ("".join(chr(rnd.choice([97, 98, 233, 0x65E5, 0x1F600])) for _ in range(size)), "a" * size):
+        payload, _ = tiff.payload_of(text)
+        assert plain_tiff_samples(tiff.text_to_tiff(payload)) == payload
+
+
 # languages and quality ----------------------------------------------------------------------------------------------------
 
 
@@ -219,6 +278,58 @@ def test_unseen_words_fall_back_to_shorter_ngrams():
     assert scorer("ЖЖЖ")[1] == 0.5  # not one letter is known: all languages alike
 
 
+def test_languages_equal_plain_loops(spark, sf_dir):
+    """Counts, logarithms and backoff again, word by word, over the whole learned sample (the smallest tables fit the bounds)."""
+    import math
+    import re
+    from collections import Counter
+
+    from dexlake.llm.queries import held_out
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", held_out("doc_id", 5, 0).alias("held")).collect()
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: r for r in language_id.identify_languages(frame, language_id.learn_languages(frame, ~held_out("doc_id", 5, 0), words_per_language=10**6, ngrams_per_language=10**6)).collect()}
+    cut = lambda t: [w for w in re.split(r"[\W\d_]+", (t or "").lower()) if w]
+    words, grams = {}, {}
+    for r in rows:
+        if not r["held"] and r["lang"] and r["text"] is not None:
+            for w in cut(r["text"]):
+                words.setdefault(r["lang"], Counter())[w] += 1
+    for lang, found in words.items():
+        grams[lang] = Counter()
+        for w, n in found.items():
+            for k in range(1, 6):
+                marked = w if k == 1 else f"<{w}>"
+                for i in range(len(marked) - k + 1):
+                    grams[lang][marked[i : i + k]] += n
+    langs = sorted(words)
+    kinds = {id(table): len({x for c in table.values() for x in c}) for table in (words, grams)}
+    mass = {id(table): {lang: sum(c.values()) for lang, c in table.items()} for table in (words, grams)}
+
+    def score(table, x, lang):
+        return math.log(table[lang][x] + 0.5) - math.log(mass[id(table)][lang] + 0.5 * (kinds[id(table)] + 1))
+
+    def of_word(w):
+        if any(w in words[lang] for lang in langs):
+            return [score(words, w, lang) for lang in langs]
+        for k in range(5, 0, -1):
+            marked = w if k == 1 else f"<{w}>"
+            known = [g for g in (marked[i : i + k] for i in range(len(marked) - k + 1)) if any(g in grams[lang] for lang in langs)]
+            if known:
+                return [sum(score(grams, g, lang) for g in known) / len(known) for lang in langs]
+        return [0.0] * len(langs)
+
+    for r in rows:
+        found = cut(r["text"])
+        if not found:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        means = [sum(x) / len(found) for x in zip(*map(of_word, found), strict=True)]
+        best = max(means)
+        assert got[r["doc_id"]]["lang_pred"] == langs[means.index(best)]
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / sum(math.exp(language_id.SHARPNESS * (m - best)) for m in means), abs=1e-3)
+
+
 def test_language_held_out_accuracy(spark, sf_dir, docs):
     from dexlake.llm.queries import held_out, op7_language_id
 
@@ -241,6 +352,41 @@ def test_quality_held_out(spark):
     assert ((got.score >= 0.7) == (got.predicted == 1)).all()
 
 
+def test_quality_equals_plain_compression(spark):
+    """Sizes from a compressor that is made anew for every block; the curve is the best of its kind for the marks it was fitted to."""
+    import math
+
+    import zstandard
+
+    rnd = random.Random(21)
+    speak = lambda words, n: " ".join(rnd.choice(words) for _ in range(n))
+    vocabulary = [["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(300)] for _ in range(2)]
+    labelled = [(speak(vocabulary[q], rnd.randint(20, 400)), q) for q in (0, 1) for _ in range(240)]
+    model = quality.learn(labelled)
+    mixed = [speak(vocabulary[0], k) + " " + speak(vocabulary[1], 400 - k) for k in range(0, 401, 50)] + ["", "a", "é" * 5000]
+
+    def size(raw, dictionary):
+        total = 0
+        for i in range(0, len(raw), 2048):
+            compressor = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), level=3, write_content_size=False)
+            total += len(compressor.compress(raw[i : i + 2048]))
+        return total
+
+    def mark(text):
+        raw = text.encode()
+        good, bad = size(raw, model.good), size(raw, model.bad)
+        return (bad - good) / max(good, bad) if raw else 0.0
+
+    frame = spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(frame, model).collect()}
+    for k, text in enumerate(mixed):
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-(model.slope * mark(text) + model.offset))), abs=1e-9)
+    assert got[0] > 0.9 > 0.1 > got[8]
+    held = [(speak(vocabulary[q], 60), q) for q in (0, 1) for _ in range(60)]
+    scorer = quality.QualityScorer(model)
+    assert np.mean([(scorer(t) >= 0.5) == bool(q) for t, q in held]) > 0.97
+
+
 def test_quality_edges(spark, docs):
     labels = spark.createDataFrame([(1, 1), (4, 1), (4, 0), (None, 1), (5, None)], "doc_id long, quality int")
     for these in (labels, labels.limit(0)):
