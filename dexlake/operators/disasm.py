@@ -5,6 +5,7 @@ Only decoding a body into instruction rows is Python; labels, references, blocks
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -18,7 +19,9 @@ from dexlake.functions import scalar as S
 from dexlake.operators.dexquery import KEY, owners
 from dexlake.sources.artifacts import Catalog
 
-INSN = "offset int, opcode int, width int, payload boolean, mnemonic string, operands string, ref_kind string, ref_idx long, targets array<int>, flow string"
+INSN = "offset int, opcode int, width int, payload boolean, mnemonic string, operands string, ref_kind string, ref_idx long, targets array<int>, flow string, regs array<int>, literal long"
+
+_REGISTER = re.compile(r"v(\d+)")
 
 
 def _signed(value: int, bits: int) -> int:
@@ -57,6 +60,12 @@ def _registers(raw: bytes, at: int, form: str) -> list[str]:
     return []
 
 
+def _numbers(words: list[str]) -> list[int]:
+    """Register operands as numbers; a range is all of it."""
+    found = [int(x) for w in words for x in _REGISTER.findall(w)]
+    return list(range(found[0], found[1] + 1)) if words and ".." in words[0] else found
+
+
 def _literal(raw: bytes, at: int, op: int, form: str) -> list[str]:
     if form == "11n":
         return [_hex(_signed(raw[at + 1] >> 4, 4))]
@@ -100,9 +109,10 @@ def decoded(raw: bytes) -> Iterator[dict]:
             except (FormatError, struct.error):
                 targets = []
             kind = None if payload else KIND.get(op)
-            words = [] if payload else _registers(raw, offset * 2, form) + _literal(raw, offset * 2, op, form)
+            regs, literal = ([], []) if payload else (_registers(raw, offset * 2, form), _literal(raw, offset * 2, op, form))
+            words = regs + literal
             flow = "switch" if op in (0x2B, 0x2C) else "goto" if form in ("10t", "20t", "30t") else "if" if form in ("21t", "22t") else "return" if 0x0E <= op <= 0x11 else "throw" if op == 0x27 else "next"
-            yield {"offset": offset, "opcode": op, "width": width, "payload": payload, "mnemonic": ".payload" if payload else NAMES.get(op, f"op-{op:02x}"), "operands": ", ".join(words), "ref_kind": kind, "ref_idx": None if kind is None else (u32 if op == 0x1B else u16)(raw, offset * 2 + 2), "targets": targets, "flow": "data" if payload else flow}
+            yield {"offset": offset, "opcode": op, "width": width, "payload": payload, "mnemonic": ".payload" if payload else NAMES.get(op, f"op-{op:02x}"), "operands": ", ".join(words), "ref_kind": kind, "ref_idx": None if kind is None else (u32 if op == 0x1B else u16)(raw, offset * 2 + 2), "targets": targets, "flow": "data" if payload else flow, "regs": _numbers(regs), "literal": int(literal[0], 16) if literal else None}
     except FormatError:
         return
 

@@ -253,6 +253,45 @@ def hidden_strings(spark, d):
     return made.select("part", deobfuscate.revealed(F.col("number"), F.col("chunks")).alias("text"))
 
 
+def _hiding(names: list[str], keys: list[int], seed: int) -> bytes:
+    """A DEX whose class Lq/D; decodes, and in which method m<key> of Lq/Use; asks for the name of part ``key``."""
+    from dexlake.formats import synth
+
+    ids, chunks = deobfuscate.hide(names, seed)
+    box, get = ("Lq/D;", "c", deobfuscate.STRINGS), ("Lq/D;", "get", deobfuscate.DECODER)
+    # const/16 v0, size; new-array v0, v0; then for each chunk const/16 v1, place; const-string v2; aput-object v2, v0, v1; sput-object v0; return-void
+    insns, refs = b"\x13\0" + len(chunks).to_bytes(2, "little") + bytes.fromhex("23000000"), [(3, "type", deobfuscate.STRINGS, 2)]
+    for k, chunk in enumerate(chunks):
+        insns += b"\x13\x01" + k.to_bytes(2, "little")
+        refs.append((len(insns) // 2 + 1, "string", chunk, 2))
+        insns += bytes.fromhex("1a020000" "4d020001")
+    refs.append((len(insns) // 2 + 1, "field", box, 2))
+    start = synth.Code(3, 0, 0, insns + bytes.fromhex("69000000" "0e00"), refs)
+    # sget-object v0; const-wide v1, multiplier; const/4 v0, 0; return-object v0
+    body = synth.Code(5, 2, 0, bytes.fromhex("62000000" "1801") + deobfuscate.SEED_MULTIPLIERS[0].to_bytes(8, "little") + bytes.fromhex("1200" "1100"), [(1, "field", box, 2)])
+    # const-wide v0, id; invoke-static {v0, v1}; move-result-object v0; return-void
+    asks = [synth.Method(f"m{k}", flags=9, virtual=False, code=synth.Code(2, 0, 2, b"\x18\0" + i.to_bytes(8, "little") + bytes.fromhex("712000001000" "0c00" "0e00"), [(6, "method", get, 2)])) for k, i in zip_strict(keys, ids)]
+    decoder = [synth.Method("<clinit>", flags=0x10008, virtual=False, code=start), synth.Method("get", deobfuscate.DECODER, 9, virtual=False, code=body)]
+    return synth.build([synth.Class("Lq/D;", fields=[("c", deobfuscate.STRINGS, 9, True)], methods=decoder), synth.Class("Lq/Use;", methods=asks)])
+
+
+@query("SELECT p_partkey AS part, p_name AS text FROM part")
+def hidden_calls(spark, d):
+    """Decoders are found in built DEX files, and the calls of them are resolved."""
+
+    def built(key: tuple, rows: pa.Table) -> pa.Table:
+        chunk = key[0].as_py()
+        return pa.table({"aid": [f"h{chunk}"], "path": [f"h{chunk}.dex"], "content": [_hiding(rows["p_name"].to_pylist(), rows["p_partkey"].to_pylist(), chunk + 1)]})
+
+    def made() -> Catalog:
+        parts = spark.read.parquet(f"{d}/part.parquet").select(F.expr(f"p_partkey div {CHUNK}").alias("chunk"), "p_partkey", F.coalesce("p_name", F.lit("")).alias("p_name"))
+        return Catalog.write(cut(parts.groupBy("chunk").applyInArrow(built, "aid string, path string, content binary")), folder(spark), mode="overwrite")
+
+    c = once(spark, d, "hidden", made)
+    calls = deobfuscate.decoded_calls(c, deobfuscate.decoders(c)).join(Q.owners(c), ["aid", "dx", "code_off"])
+    return calls.select(key_of("name", "^m(\\d+)$").alias("part"), "text")
+
+
 # names ------------------------------------------------------------------------------------------------------------------------
 
 

@@ -68,3 +68,39 @@ def test_rebuilt_class_has_the_same_code_and_no_other_class(spark):
     frame = spark.createDataFrame([("one", bytearray(whole)), ("two", bytearray(b"x"))], "aid string, content binary")
     got = {r["aid"]: r for r in rebuild.rebuilt_classes(frame, "La/B;").collect()}
     assert got["one"]["content"] == small and got["two"]["error"]
+
+
+def test_decoders_are_found_and_their_calls_resolved(spark):
+    """A class that keeps its chunks in a static array, and callers: with constants, over a branch, with a register touched in between."""
+    texts = ["secret", "zwei", "\U0001f600 three"]
+    ids, chunks = deobfuscate.hide(texts)
+    assert len(chunks) == 1
+    chunks = [chunks[0][i : i + deobfuscate.CHUNK_LENGTH] for i in range(0, len(chunks[0]), deobfuscate.CHUNK_LENGTH)]
+    array, text, box = "[Ljava/lang/String;", "Ljava/lang/String;", ("Lq/D;", "c", "[Ljava/lang/String;")
+    # const/4 v0, 1; new-array v0, v0; const/4 v1, 0; const-string v2; aput-object v2, v0, v1; sput-object v0; return-void
+    start = synth.Code(3, 0, 0, bytes.fromhex("1210" "23000000" "1201" "1a020000" "4d020001" "69000000" "0e00"), [(2, "type", array, 2), (5, "string", chunks[0], 2), (9, "field", box, 2)])
+    # sget-object v0; const-wide v1, multiplier; const/4 v0, 0; return-object v0
+    seed = deobfuscate.SEED_MULTIPLIERS[0].to_bytes(8, "little").hex()
+    get = synth.Code(5, 2, 0, bytes.fromhex("62000000" "1801" + seed + "1200" "1100"), [(1, "field", box, 2)])
+
+    def caller(name, number, before="", between=""):
+        # [before]; const-wide v0, number; [between]; invoke-static {v0, v1}, get; move-result-object v0; return-void
+        head = bytes.fromhex(before) + bytes.fromhex("1800") + (number & (1 << 64) - 1).to_bytes(8, "little") + bytes.fromhex(between)
+        return synth.Method(name, flags=9, virtual=False, code=synth.Code(4, 0, 2, head + bytes.fromhex("71200000" "1000" "0c00" "0e00"), [(len(head) // 2 + 1, "method", ("Lq/D;", "get", f"(J){text}"), 2)]))
+
+    callers = [caller(f"m{k}", i) for k, i in enumerate(ids)]
+    callers += [caller("touched", ids[0], between="1211"), caller("jumped", ids[0], before="38020700", between="0000"), caller("beside", ids[1], between="1203")]
+    raw = synth.build([
+        synth.Class("Lq/D;", fields=[("c", array, 9, True)], methods=[synth.Method("<clinit>", flags=0x10008, virtual=False, code=start), synth.Method("get", f"(J){text}", 9, virtual=False, code=get)]),
+        synth.Class("Lq/Use;", methods=callers),
+        synth.Class("Lq/No;", fields=[("c", array, 9, True)], methods=[synth.Method("get", f"(J){text}", 9, virtual=False, body=[("string", "no decoder")])]),
+    ])
+    catalog = Catalog(wide_records(spark.createDataFrame([("one", "one.dex", bytearray(raw))], "aid string, path string, content binary")).cache())
+    assert not catalog.table("issue").collect()
+    found = deobfuscate.decoders(catalog).cache()
+    assert [(r["class_descriptor"], r["name"]) for r in found.collect()] == [("Lq/D;", "get")]
+    from dexlake.operators.dexquery import owners
+
+    calls = deobfuscate.decoded_calls(catalog, found).join(owners(catalog), ["aid", "dx", "code_off"])
+    got = sorted((r["name"], r["text"]) for r in calls.select("name", "text").collect())
+    assert got == [("beside", "zwei"), ("m0", "secret"), ("m1", "zwei"), ("m2", "\U0001f600 three")]
