@@ -19,6 +19,7 @@ from dexlake.formats.binary import FormatError
 
 NUMBERS, TEXTS = 10, 4
 SAMPLE_BYTES = 1 << 20
+LONGEST_DEX = 64 << 20  # fixed value of the policy: longer ones are skipped with an issue
 
 TABLES = {
     **dex.TABLES,
@@ -91,7 +92,12 @@ def records(path: str, data: bytes | None) -> Iterator[tuple[str, int | None, di
     at = 0
     for e in zip.dex_entries(found):
         try:
-            content = zip.read(data, e)
+            if e.uncompressed_size > LONGEST_DEX:
+                yield "dex", at, {"dex_name": e.name, "entry_name": e.name, "status": "skipped"}
+                yield "issue", at, {"stage": "entry", "message": f"{e.name}: over {LONGEST_DEX >> 20} MiB", "failed": 1}
+                at += 1
+                continue
+            content = zip.read(data, e, most=LONGEST_DEX)
             most = at
             for k, table, columns in dex.rows(content, e.name):
                 most = max(most, at + k)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,3 +39,18 @@ def ingest_stream(artifacts: DataFrame, catalog: str, checkpoint: str, *, once:
 def search_stream(artifacts: DataFrame, search, sink, checkpoint: str) -> StreamingQuery:
     """Run ``search`` (wide records to hits) on every batch and hand the hits to ``sink`` (DataFrame, batch number)."""
     return artifacts.writeStream.foreachBatch(lambda batch, number: sink(search(wide_records(batch)), number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+@contextmanager
+def tagged(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs started inside carry a tag, by which :func:`cancel` ends them; a newer task of a kind can so end the older one."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """End all running jobs with a tag."""
+    spark.sparkContext.cancelJobsWithTag(tag)

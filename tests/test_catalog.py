@@ -236,3 +236,61 @@ def test_streaming_ingest(spark, folder, tmp_path):
     ingest.ingest_stream(stream, str(tmp_path / "c"), str(tmp_path / "s")).awaitTermination(120)
     got = Catalog(spark.read.parquet(str(tmp_path / "c")))
     assert got.table("class_def").count() == 4 and got.wide.agg(F.count_distinct("batch")).first()[0] == 2
+
+
+def test_results_say_how_they_ended(spark, catalog, tmp_path):
+    from dexlake.operators import reports
+
+    one = synth.build([synth.Class("La;", methods=[synth.Method("x", body=[("string", "s")])])])
+    whole = Catalog(wide_records(spark.createDataFrame([("a", "a.dex", bytearray(one))], "aid string, path string, content binary")).cache())
+    hits = Q.find_refs(whole, "string", "s")
+    assert reports.result(whole, hits).exit_code() == 0 and reports.result(whole, Q.find_refs(whole, "string", "zz")).exit_code() == 1
+    assert reports.result(catalog, hits).exit_code() == 2
+    reports.write(reports.text_lines(whole, hits), str(tmp_path / "text"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "text")).collect()] == ["a.dex | La;->x | matched=(s)"]
+    assert '"matched_text":"s"' in reports.json_lines(hits).first()[0] and '"note":null' in reports.json_lines(hits.withColumn("note", F.lit(None).cast("string"))).first()[0]
+    reports.check_raw_dex(whole)
+    broken = Catalog(wide_records(spark.createDataFrame([("b", "b.dex", bytearray(b"dex\n036\0" + bytes(200)))], "aid string, path string, content binary")))
+    with pytest.raises(ValueError, match="b.dex"):
+        reports.check_raw_dex(broken)
+
+
+def test_long_dex_entries_are_skipped(monkeypatch):
+    from dexlake.sources import artifacts
+
+    monkeypatch.setattr(artifacts, "LONGEST_DEX", 300)
+    raw = zip.write([("classes.dex", synth.build([synth.Class(f"La{k};") for k in range(40)])), ("classes2.dex", synth.build([synth.Class("LB;")]))])
+    found = [(t, dx, c.get("status")) for t, dx, c in artifacts.records("a.apk", raw) if t == "dex"]
+    assert found == [("dex", 0, "skipped"), ("dex", 1, "view")] and [c["failed"] for t, _, c in artifacts.records("a.apk", raw) if t == "issue"] == [1]
+
+
+def test_tagged_jobs(spark):
+    with ingest.tagged(spark, "search"):
+        assert spark.range(3).count() == 3 and set(spark.sparkContext.getJobTags()) == {"search"}
+    assert not set(spark.sparkContext.getJobTags())
+    ingest.cancel(spark, "search")
+
+
+def test_signs_of_failed_decompilation(spark):
+    from dexlake.functions import javatext as J
+
+    text = """class A {
+    int go(int p0) {
+        int v1_0 = 3; // v9_9 isn't read here
+        v2_0 += v1_0;
+        String s = "v8_8 { ";
+        return v3_1 + v1_0;
+    }
+    void other() {
+        foo(v1_0);
+        v3_1 = 2;
+    }
+}"""
+    assert J.unbound_locals(text) == ["v1_0", "v3_1"]
+    body = "log(\"} catch (X e) {\"); closeEverything(first, second); rethrow(e);"
+    three = "".join(f"try {{ a(); }} catch (E e) {{ {body} }}\n" for _ in range(3)) + "catch (F f) { short(); }"
+    assert J.most_repeated(J.catch_bodies(three)) == 3 and J.most_repeated(J.catch_bodies("try { } catch (E e) { " + body + " }")) == 0
+    loop = "while (x) {\n  y = read();\n  if (a) {\n  b();\n  }\n  y = read();\n}"
+    assert J.rotated_loops(loop) == 1 and J.rotated_loops(loop.replace("y = read();", "return;")) == 0 and J.rotated_loops("while (x) {\n a();\n b();\n}") == 0
+    frame = spark.createDataFrame([(1, text), (2, three), (3, None)], "id int, text string")
+    assert rows(J.diagnosed(frame), "id", "unbound_locals", "repeated_catches", "rotated_loops") == [(1, ["v1_0", "v3_1"], 0, 0), (2, [], 3, 0), (3, [], 0, 0)]
