@@ -46,16 +46,21 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
+_SCRATCH: dict[str, SparkSession] = {}
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _sweep() -> None:
-    """At the end of the process, remove what :func:`cut` wrote."""
-    for spark, path in _SCRATCH:
+    """At the end of the process, remove what :func:`cut` wrote and :func:`drop` didn't."""
+    for path, spark in _SCRATCH.items():
         try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-            where = hadoop.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            delete(spark, path)
         except Exception:  # noqa: BLE001  the session has ended: the folder is left to its owner
             return
 
@@ -66,9 +71,18 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = scratch(spark, label)
     if not _SCRATCH:
         atexit.register(_sweep)
-    _SCRATCH.append((spark, path))
+    _SCRATCH[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._cut_path = path
+    return written
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Remove tables that :func:`cut` wrote, once all that reads them has been written itself."""
+    for t in tables:
+        if (path := getattr(t, "_cut_path", None)) in _SCRATCH:
+            delete(_SCRATCH.pop(path), path)
 
 
 def by_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dexlake.llm.common import cut
+from dexlake.llm.common import cut, drop
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == before:
             break
-        before = state
+        before, last = state, edges
         edges = cut(_small(_large(edges)))
+        drop(last)
     found = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return found.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

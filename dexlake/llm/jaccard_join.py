@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dexlake.llm.common import bounded_batches, by_rows, cut
+from dexlake.llm.common import bounded_batches, by_rows, cut, drop
 from dexlake.llm.components import components
 
 KNOWN, LONG, MOST_KNOWN = 4, 32, 1_000_000
@@ -229,6 +229,7 @@ def known_counts(docs: DataFrame, total: int, width: int, least: int = KNOWN, mo
             break
         kept, held = n, held + rows
     table = found.where(F.col("n") >= kept).toArrow()
+    drop(found)
     keys, counts = (c.to_numpy() for c in table.columns)
     order = np.argsort(keys, kind="stable")
     return Known(shift, keys[order].view(np.uint64), counts[order], max(long, kept - 1))
@@ -346,7 +347,9 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) ->
         sets = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
         return {"node": [node_of(s) for s in sets], "tokens": [s.tobytes() for s in sets]}
 
-    return cut(by_rows(wanted, made, "node binary, tokens binary").dropDuplicates(["node"]), "sets")
+    sets = cut(by_rows(wanted, made, "node binary, tokens binary").dropDuplicates(["node"]), "sets")
+    drop(ids)
+    return sets
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, made: Callable[[bytes, bytes, np.ndarray, np.ndarray], tuple | None], schema: str) -> DataFrame:
@@ -379,8 +382,8 @@ def _links(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
     return _compared(pairs, sets, linked, "u binary, v binary")
 
 
-def _around_pivots(members: DataFrame, sets: DataFrame, a: int, b: int) -> tuple[DataFrame, DataFrame]:
-    """(links that are certain, candidates) among the members (pivot, node) of each pivot; see step 4 of the module."""
+def _around_pivots(members: DataFrame, sets: DataFrame, a: int, b: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(links that are certain, candidates, tables that both read) of the members (pivot, node) of each pivot; see step 4 of the module."""
     whole = a + b
 
     def apart(pivot: bytes, node: bytes, x: np.ndarray, y: np.ndarray) -> tuple:
@@ -406,7 +409,7 @@ def _around_pivots(members: DataFrame, sets: DataFrame, a: int, b: int) -> tuple
         (F.col("outside_x") & ((F.col("node_x") < F.col("node_y")) | ~F.col("outside_y") & (F.col("node_x") != F.col("node_y"))))
         & (2 * whole * F.least("left_x", "left_y") >= F.col("f_x") + F.col("f_y"))
     )
-    return certain, met.select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct()
+    return certain, met.select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct(), [apart_, rows]
 
 
 def _nodes(*pairs: DataFrame) -> DataFrame:
@@ -428,17 +431,19 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     most = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
     table = spark.sparkContext.broadcast(known_counts(docs, most, width, known, most_known, long))  # 16 bytes an entry, most_known at most
     dealt = _dealt(docs, table, most, width, a, b)
-    signed = dealt.where("kind = 0").select("id", F.col("n").alias("n_shingles"), "node")
+    signed = cut(dealt.where("kind = 0").select("id", F.col("n").alias("n_shingles"), "node"), "signed")
     classes = cut(signed.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id")), "classes")
     pairs = cut(_met(dealt.where("kind = 1").select("block", "packed"), a, b), "pairs")
     members = cut(_members(dealt.where("kind = 2").select("token", "size", "node", "n")), "members")
+    drop(dealt)
     sets = _sets(docs, classes, _nodes(pairs, members), width)
-    certain, more = _around_pivots(members, sets, a, b)
-    pairs = pairs.unionByName(more.join(pairs, ["u", "v"], "left_anti"))
-    links = _links(pairs, sets, a, b).unionByName(certain)
+    certain, more, between = _around_pivots(members, sets, a, b)
+    every = pairs.unionByName(more.join(pairs, ["u", "v"], "left_anti"))
+    links = _links(every, sets, a, b).unionByName(certain)
 
     ids = links.join(classes.select(F.col("node").alias("u"), F.col("id").alias("x")), "u").join(classes.select(F.col("node").alias("v"), F.col("id").alias("y")), "v")
     joined = components(ids.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    drop(pairs, members, sets, *between)
     found = classes.join(joined, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
     done = signed.join(found, "node", "left")
     return done.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dexlake.llm.common import bounded_batches, cut
+from dexlake.llm.common import bounded_batches, cut, drop
 from dexlake.llm.lyndon import suffix_array
 
 U = np.uint64
@@ -201,11 +201,18 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 def _units(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc, anchor, context, first, starts, offset) of every unit."""
+    """(doc, anchor, context, first, starts, offset, copies) of every unit; texts that come several times in a batch make their units once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made, counts = [], []
+            often: dict[bytes, int] = {}
+            place: list[int] = []
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                if doc not in often:
+                    place.append(i)
+                often[doc] = often.get(doc, 0) + 1
+            batch = batch.take(pa.array(place))
             for text in batch.column(1).to_pylist():
                 made.append(units_of((text or "").encode("utf-8", "surrogatepass"), window, gram))
                 counts.append(len(made[-1][0]))
@@ -213,9 +220,9 @@ def _units(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 anchor, first, starts, offset = (np.concatenate([m[k] for m in made]) for k in (0, 2, 3, 4))
                 context = pa.array([c for m in made for c in m[1]], pa.binary())
                 docs_ = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-                yield pa.RecordBatch.from_arrays([docs_, pa.array(anchor.view(np.int64)), context, pa.array(first.astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(offset.astype(np.int32))], names=["doc", "anchor", "context", "first", "starts", "offset"])
+                yield pa.RecordBatch.from_arrays([docs_, pa.array(anchor.view(np.int64)), context, pa.array(first.astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(np.repeat(np.array(list(often.values()), np.int64), counts))], names=["doc", "anchor", "context", "first", "starts", "offset", "copies"])
 
-    return docs.mapInArrow(run, "doc binary, anchor long, context binary, first int, starts int, offset int")
+    return docs.mapInArrow(run, "doc binary, anchor long, context binary, first int, starts int, offset int, copies long")
 
 
 def _suffix_groups(contexts: DataFrame, window: int) -> DataFrame:
@@ -291,8 +298,8 @@ def _whole(contexts: DataFrame, window: int) -> DataFrame:
     return contexts.where("copies > 1").select("group", "context", F.lit(0).alias("first"), (F.length("raw") - window).cast("int").alias("last"))
 
 
-def _repeats(contexts: DataFrame, sizes: DataFrame, window: int, most: int, widths: tuple[int, ...]) -> DataFrame:
-    """Repeated starts of contexts in groups with several distinct ones."""
+def _repeats(contexts: DataFrame, sizes: DataFrame, window: int, most: int, widths: tuple[int, ...], between: list[DataFrame]) -> DataFrame:
+    """Repeated starts of contexts in groups with several distinct ones; tables that they are read from are added to ``between``."""
     mixed_ = contexts.join(sizes.where("distinct > 1 and alone > 0"), "group")
     found = _suffix_groups(mixed_.where(F.col("distinct") <= most), window)
     large = mixed_.where(F.col("distinct") > most)
@@ -300,9 +307,11 @@ def _repeats(contexts: DataFrame, sizes: DataFrame, window: int, most: int, widt
         return found
     parts = cut(_dealt_again(large, widths[0], window), "parts")
     again = cut(_distinct(parts), "again")
+    between += [parts, again]
     inner = _whole(again, window)
     if widths[0] > 1:
-        inner = inner.unionByName(_repeats(again, cut(_group_sizes(again), "sizes"), window, most, widths[1:]))
+        between.append(sizes := cut(_group_sizes(again), "sizes"))
+        inner = inner.unionByName(_repeats(again, sizes, window, most, widths[1:], between))
     back = parts.join(inner, ["group", "context"])
     return found.unionByName(back.select(F.col("parent_group").alias("group"), F.col("parent").alias("context"), (F.col("first") + F.col("shift")).cast("int").alias("first"), (F.col("last") + F.col("shift")).cast("int").alias("last")))
 
@@ -310,9 +319,13 @@ def _repeats(contexts: DataFrame, sizes: DataFrame, window: int, most: int, widt
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """(doc, spans) of the texts (doc, text) that have repeated windows; spans are [first start, last start + window), unmerged.  ``doc`` is :func:`text_key`."""
     bounded_batches(docs.sparkSession)
-    units = cut(_units(docs, window, gram), "units")
+    every = cut(_units(docs, window, gram), "units")
     names = ["anchor", "context"]
-    distinct = units.groupBy(*names).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "first", "starts", "offset")).alias("at"))
+    # most anchors come once: they are counted by themselves, and the rest works on the others' units
+    again = every.groupBy("anchor").agg(F.sum("copies").alias("all")).where(F.col("all") > 1).select("anchor")
+    units = cut(every.join(again, "anchor", "left_semi"), "units")
+    drop(every)
+    distinct = units.groupBy(*names).agg(F.sum("copies").alias("copies"), F.min(F.struct("doc", "first", "starts", "offset")).alias("at"))
     groups = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("distinct"), F.sum("copies").alias("all"), F.count(F.when(F.col("copies") == 1, 1)).alias("alone")).where(F.col("all") > 1)
     candidates = cut(distinct.join(groups, "anchor"), "candidates")
     whole = candidates.where("copies > 1").select("anchor", "context", F.lit(0).alias("first"), (F.col("at.starts") - 1).alias("last"))
@@ -337,12 +350,15 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, m
 
     texts = docs.join(by_doc, "doc").dropDuplicates(["doc"])  # of a repeated text one is enough
     contexts = cut(texts.select("text", "wanted").mapInArrow(fetched, "group long, context binary, copies long, offset int, raw binary"), "contexts")
-    found = _repeats(contexts, cut(_group_sizes(contexts), "sizes"), window, most_contexts, widths)
+    sizes, between = cut(_group_sizes(contexts), "sizes"), []
+    found = _repeats(contexts, sizes, window, most_contexts, widths, between)
     runs = whole.unionByName(found.select(F.col("group").alias("anchor"), "context", "first", "last"))
     runs = cut(runs, "runs")
     spans = units.select("doc", "anchor", "context", F.col("first").alias("start")).join(runs, names)
     spans = spans.select("doc", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + window).alias("b"))
-    return spans.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # a set: a repeated text says the same as often as it comes
+    spans = cut(spans.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")  # a set: a repeated text says the same as often as it comes
+    drop(units, candidates, contexts, sizes, runs, *between)
+    return spans
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
