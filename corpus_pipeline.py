@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dexlake.llm.common import cut, scratch, table
+from dexlake.llm.common import cut, drop, table
 from dexlake.llm.jaccard_join import jaccard_components
 from dexlake.llm.mixing import mixed
 from dexlake.llm.packing import added_tokens, pack
@@ -90,7 +90,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = scratch(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        kept = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
