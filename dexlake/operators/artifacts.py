@@ -20,6 +20,7 @@ from dexlake.formats.binary import FormatError
 from dexlake.functions import scalar as S
 from dexlake.functions import uri as U
 from dexlake.operators import relational as R
+from dexlake.sources.artifacts import BATCH_BYTES
 
 
 def per_artifact(artifacts: DataFrame, rows_of: Callable[[bytes], Iterator[dict]], schema: str) -> DataFrame:
@@ -44,7 +45,7 @@ def per_artifact(artifacts: DataFrame, rows_of: Callable[[bytes], Iterator[dict]
                 for at in range(0, len(made), 4096):
                     yield pa.RecordBatch.from_pylist(made[at : at + 4096], schema=arrow)
 
-    artifacts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 26))
+    artifacts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return artifacts.select("aid", "content").mapInArrow(run, full)
 
 

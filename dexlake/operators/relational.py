@@ -43,17 +43,31 @@ def budget_prefix(df: DataFrame, charge: str, budget: int, by: Sequence[str], or
 
 
 def skipping_budget(df: DataFrame, charge: str, budget: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Which rows of each ``by`` fit a budget if a row that doesn't fit is skipped and later ones may fit: an array of (order, admitted)."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, charge)))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<boolean>").alias("fits"))
+    """Which rows of each ``by`` fit a budget if a row that doesn't fit is skipped and later ones may fit: adds ``admitted``.
 
-    def step(s: Column, x: Column) -> Column:
-        fits = s["spent"] + x[charge] <= budget
-        return F.struct((s["spent"] + F.when(fits, x[charge].cast("long")).otherwise(0)).alias("spent"), F.concat(s["fits"], F.array(fits)).alias("fits"))
-
-    gathered = df.groupBy(*by).agg(rows.alias("rows"))
-    folded = gathered.withColumn("fits", F.aggregate("rows", start, step)["fits"])
-    return folded.select(*by, F.explode(F.arrays_zip("rows", "fits")).alias("x")).select(*by, *[F.col(f"x.rows.{c}").alias(c) for c in (*order, charge)], F.col("x.fits").alias("admitted"))
+    Whether a row fits depends on all before it, so the rows of a key go through one task, in order; they are streamed and never gathered.
+    A null charge is 0.
+    """
+    import pyarrow as pa
+
+    columns = [*by, *order, charge]
+    sorted_ = df.select(*columns).repartition(*by).sortWithinPartitions(*by, *order)
+    keys = len(by)
+
+    def run(batches):
+        current, spent = None, 0
+        for batch in batches:
+            admitted = []
+            for *key, cost in zip(*(batch.column(i).to_pylist() for i in [*range(keys), len(columns) - 1]), strict=True):
+                if key != current:
+                    current, spent = key, 0
+                fits = spent + (cost or 0) <= budget
+                spent += (cost or 0) if fits else 0
+                admitted.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(admitted, pa.bool_())], names=[*columns, "admitted"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_.schema)
+    return sorted_.mapInArrow(run, f"{schema}, admitted boolean")
 
 
 def entropy(df: DataFrame, key: Sequence[str], symbols: Column) -> DataFrame:

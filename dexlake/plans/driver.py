@@ -51,6 +51,15 @@ def inflate_budget(spark, d):
     return R.budget_prefix(_t(spark, d, "documents").select("source", "doc_id", "n_chars"), "n_chars", 50_000, ["source"], ["doc_id"]).select("source", "doc_id", "spent")
 
 
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, length(props)::BIGINT AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+t AS (SELECT user_id, event_id, size, n, size <= 100 AS admitted, CASE WHEN size <= 100 THEN size ELSE 0 END AS spent FROM o WHERE n = 1
+UNION ALL SELECT o.user_id, o.event_id, o.size, o.n, t.spent + o.size <= 100, CASE WHEN t.spent + o.size <= 100 THEN t.spent + o.size ELSE t.spent END FROM t JOIN o ON o.user_id = t.user_id AND o.n = t.n + 1)
+SELECT user_id, event_id, size, admitted FROM t""")
+def skipping_budget(spark, d):
+    events = _t(spark, d, "events").select("user_id", "event_id", F.length("props").cast("long").alias("size"))
+    return R.skipping_budget(events, "size", 100, ["user_id"], ["event_id"])
+
+
 @query("WITH c AS (SELECT page_id, unnest(string_split(url, '')) AS s FROM pages), n AS (SELECT page_id, s, count(*) AS n FROM c WHERE s <> '' GROUP BY ALL), p AS (SELECT page_id, n / sum(n) OVER (PARTITION BY page_id) AS p FROM n) SELECT page_id, round(-sum(p * log2(p)), 3) AS entropy FROM p GROUP BY page_id")
 def entropy(spark, d):
     return R.entropy(_t(spark, d, "pages").select("page_id", "url"), ["page_id"], F.filter(F.split("url", ""), lambda c: c != ""))

@@ -19,6 +19,7 @@ from dexlake.formats.binary import FormatError
 
 NUMBERS, TEXTS = 10, 4
 SAMPLE_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20  # of an Arrow batch, as everywhere in the library: a session has one such setting; a longer file is a batch of its own
 LONGEST_DEX = 64 << 20  # fixed value of the policy: longer ones are skipped with an issue
 
 TABLES = {
@@ -156,7 +157,7 @@ def wide_records(artifacts: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    artifacts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 26))
+    artifacts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return artifacts.select("aid", "path", "content").mapInArrow(run, SCHEMA)
 
 
