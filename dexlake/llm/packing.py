@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from dexlake.llm.common import bounded_batches, texts_of
 
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 200_000  # some 40 MB; a worker keeps the table between stages
 SENTENCE_PENALTY, INNER_PENALTY = 3, 24
 INNER_STEP = 64  # tokens between cuts that may be made inside a long sentence
 END_MARKS = (".", "!", "?", "…", "。", "\n")
