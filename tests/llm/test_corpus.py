@@ -278,6 +278,22 @@ def test_blocks_of_long_texts(monkeypatch):
     assert set(anchors(parts)[0]) == set(anchors(whole)[0]) and anchors(parts)[1] == anchors(whole)[1] == len(raw) - 39
 
 
+def test_a_unit_gets_one_span(spark):
+    """A passage in many texts: however many parts and windows find a unit's repeats, they come back to it once."""
+    passage = words(60, 70)
+    texts = {k: f"{words(12, 400 + k)} {passage} {words(12, 500 + k)}" for k in range(12)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    keyed = frame.select(suffix_dedup.text_key(F.col("text")).alias("doc"), "text")
+    found = suffix_dedup.repeated_spans(keyed, window=40, gram=20, most_contexts=2, widths=(5, 1)).join(keyed, "doc").collect()
+    assert len(found) == 12
+    for r in found:
+        raw = r["text"].encode()
+        _, _, first, starts, _ = suffix_dedup.units_of(raw, 40, 20)
+        assert all(sum(a <= x["a"] < a + n for x in r["spans"]) <= 1 for a, n in zip(first.tolist(), starts.tolist(), strict=True))
+        again = {k for k in range(len(raw) - 39) if any(raw[k : k + 40] in t.encode() for t in texts.values() if t != r["text"])}
+        assert {b for a, e in suffix_dedup.merged(r["spans"]) for b in range(a, e)} == {b for k in again for b in range(k, k + 40)}
+
+
 def test_texts_without_their_repeats(docs):
     out = suffix_dedup.deduplicated(docs, window=40, gram=20)
     assert out.columns == docs.columns and out.count() == docs.count()
